@@ -16,6 +16,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.secrets import scan, spans
+
+    rows = scan(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = spans(F.col("findings"))
+    return rows.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.langid import identify
 
