@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from sluice.llm.common import read_table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.simhash import near_duplicates
 
