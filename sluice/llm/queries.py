@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from sluice.llm.common import read_table
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.mixing import mix
 
@@ -37,6 +44,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.packing import pack, pieces
+
+    rows = pack(pieces(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
