@@ -23,6 +23,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.media import payloads, store
+
+    return payloads(store(read_table(spark, sf_dir, "documents"))).drop("error").withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.simhash import near_duplicates
 
