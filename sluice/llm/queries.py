@@ -29,6 +29,13 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads(store(read_table(spark, sf_dir, "documents"))).drop("error").withColumnRenamed("id", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.warc import page_id, read, write
+
+    rows = read(write(read_table(spark, sf_dir, "pages")), payload=False).filter("kind in ('response', 'revisit')")
+    return rows.select(page_id("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_id("refers_to").alias("refers_to"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.simhash import near_duplicates
 
