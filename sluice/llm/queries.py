@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.ann import neighbours
+
+    return neighbours(read_table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.mixing import mix
 
