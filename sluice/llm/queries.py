@@ -48,6 +48,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.idfiles import read, write
+
+    return read(write(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.secrets import scan, spans
 
