@@ -80,5 +80,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_SPANS = """select doc_id, '{kind}' as kind, {rank} as rank, {least} as least, string_split_regex(text, '{r}') as gaps, regexp_extract_all(text, '{r}') as found, regexp_extract_all(text, '{r}', {group}) as worth from t"""
+#: The hex rule asks for its length in the pattern here: runs are maximal either way, and only long ones count.
+_RULES = (
+    ("assign", 0, 12, 2, """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", 1, 18, 0, "AKIA[A-Z0-9]+"),
+    ("hex", 2, 16, 0, "[0-9a-f]{16,}"),
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where SQL can say the result. The others are tested against brute force, round trips or held-out rows."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digest = f"list_aggregate(list_transform(range(32), lambda i: substr('{alphabet}', cast(((('0x' || substr(sha1(p), cast(5 * (i // 4) + 1 as bigint), 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1 as bigint), 1)), 'string_agg', '')"
+    op4 = f"""with t as (select page_id, coalesce(html, '') as p from pages), h as (select p, max(page_id) as head from t group by p)
+select page_id, cast(strlen(p) as bigint) as payload_bytes, {digest} as payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to from t join h using (p)"""
+    spans = " union all ".join(_SPANS.format(kind=k, rank=n, least=least, group=g, r=r) for k, n, least, g, r in _RULES)
+    op8 = f"""with t as (select doc_id, coalesce(text, '') as text from documents), m as ({spans}), u as (select *, unnest(range(1, len(found) + 1)) as i from m),
+s as (select doc_id, kind, rank, least, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) as a, length(found[i]) as n, length(worth[i]) as w from u),
+f as (select doc_id, kind, rank, a, kind || ':' || cast(a as bigint) || ':' || cast(a + n as bigint) as span from s where w >= least),
+g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(span, ',' order by a, rank) as spans from f group by doc_id)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from t left join g using (doc_id)"""
+    return {"op4_warc": op4, "op8_secrets": op8}
