@@ -84,7 +84,7 @@ def free_segments(log: DataFrame, size: int) -> DataFrame:
     # A cell range is used if it was allocated once more than it was freed; events at both ends add up to that.
     step = F.when(F.col("op") == "alloc", 1).otherwise(-1)
     ends = now.select("disk", F.explode(F.array(F.struct(F.col("start").alias("at"), step.alias("d")), F.struct((F.col("start") + F.col("length")).alias("at"), (-step).alias("d")))).alias("e")).select("disk", "e.*")
-    bounds = log.select("disk").distinct().select("disk", F.explode(F.array(F.lit(0), F.lit(size))).cast("long").alias("at"), F.lit(0).alias("d"))
+    bounds = log.select("disk").distinct().select("disk", F.explode(F.expr(f"array(0L, {size}L)")).alias("at"), F.lit(0).alias("d"))
     marks = ends.unionByName(bounds).groupBy("disk", "at").agg(F.sum("d").alias("d"))
     w = Window.partitionBy("disk").orderBy("at")
     used = marks.withColumn("used", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(w)).filter("to is not null")
