@@ -56,10 +56,11 @@ def neighbours(keys: DataFrame, probes: DataFrame, key: str = "key") -> DataFram
     real = F.when(F.col("__is") == 1, F.col(key))
     ends = placed.groupBy("__p").agg(F.min(real).alias("__lo"), F.max(real).alias("__hi"))
     along = Window.orderBy("__p")  # a row a range
-    ends = F.broadcast(ends.select("__p", F.max("__hi").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__lo").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__after")))
+    ends = F.broadcast(ends.select("__p", F.max("__hi").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__lo").over(Window.orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after")))
     inside = Window.partitionBy("__p").orderBy("__m")
     below = F.max(real).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.min(real).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    # From the other end: a frame that grows costs a row, one that shrinks is summed up anew for each.
+    above = F.min(real).over(Window.partitionBy("__p").orderBy(F.desc("__m")).rowsBetween(Window.unboundedPreceding, -1))
     out = placed.withColumn("__b", below).withColumn("__a", above).join(ends, "__p").filter("__ask = 1")
     return out.select(key, F.coalesce("__b", "__before").alias("predecessor"), F.coalesce("__a", "__after").alias("successor"))
 

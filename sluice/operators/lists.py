@@ -12,7 +12,7 @@ from sluice.operators.joining import anti_head
 from sluice.plans.shared import materialize
 
 #: Nodes up to which one task ranks the lists in memory.
-SMALL = 100_000
+SMALL = 1_000_000
 
 
 def find_head(nodes: DataFrame) -> DataFrame:
