@@ -42,6 +42,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(page_id("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_id("refers_to").alias("refers_to"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.licenses import scan
+
+    return scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.simhash import near_duplicates
 
@@ -101,4 +107,6 @@ s as (select doc_id, kind, rank, least, list_sum(list_transform(gaps[1:i], lambd
 f as (select doc_id, kind, rank, a, kind || ':' || cast(a as bigint) || ':' || cast(a + n as bigint) as span from s where w >= least),
 g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(span, ',' order by a, rank) as spans from f group by doc_id)
 select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from t left join g using (doc_id)"""
-    return {"op4_warc": op4, "op8_secrets": op8}
+    from sluice.llm.licenses import oracle
+
+    return {"op4_warc": op4, "op5_licenses": oracle(), "op8_secrets": op8}
