@@ -81,8 +81,8 @@ def tilts(hist: DataFrame, goal: DataFrame, *, cap: int = 2, tolerance: float =
         sums = got.groupBy("key").agg(F.sum((F.col("words") * F.col("r").cast("decimal(19,0)")).cast("decimal(38,0)")).cast("double").alias("f"), F.sum((F.col("words").cast("decimal(19,0)") * slope.cast("decimal(19,0)")).cast("decimal(38,0)")).cast("double").alias("d"))
         s = state.join(sums, "key", "left").withColumn("f", F.col("f") / UNIT - F.col("target")).withColumn("d", F.col("d") / UNIT)
         s = s.withColumn("lo", F.when(F.col("f") < 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") > 0, F.col("lam")).otherwise(F.col("hi")))
-        newton = F.col("lam") - F.col("f") / F.col("d")
-        inside = (F.col("d") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
+        newton = F.col("lam") - F.try_divide("f", "d")  # null where all documents have the cap
+        inside = newton.isNotNull() & (newton > F.col("lo")) & (newton < F.col("hi"))
         near = F.col("full") | F.col("done") | F.col("f").isNull() | (F.abs("f") <= tolerance * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-13 * F.greatest(F.abs("lam"), F.lit(1e-6)))
         step = F.when(near, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         after = materialize(s.select("key", "source_size", "target", "mean", "full", step.alias("lam"), "lo", "hi", near.alias("done")), "tilts")

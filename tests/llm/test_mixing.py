@@ -57,3 +57,10 @@ def test_small_tables(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in one] == [(0, 0.0, 0)]
     two = mixing.mix(spark.createDataFrame([(1, "a b c d", "x"), (2, "a", "y")], schema)).collect()
     assert {r["key"]: round(r["target"], 6) for r in two} == {"sx": 5.5, "sy": 2.0}
+
+
+def test_a_step_into_the_caps(spark):
+    """Sizes so far apart that a step meets documents that all have the cap, or none that is left."""
+    data = [(i, "w " * n, s) for i, (n, s) in enumerate([(1, "a"), (30000, "a"), (1, "b"), (1, "b"), (9000, "b"), (200, "c"), (1, "c"), (40000, "d")])]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert len(got) == 8 and all(0 <= r["copies"] <= 2 for r in got)
