@@ -46,12 +46,12 @@ class Coder:
         self.sure2, self.sure1 = np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, np.uint8)
         self.seen = np.zeros(n * SLOTS, np.uint16)
         self.top, self.top_n = np.full(n, EMPTY), np.zeros(n, np.uint16)
-        # counts by outcome and context: 4 x 4 levels of sureness, and three outcomes back
-        self.by_sure, self.by_past = np.full((4, n * 16), 8, np.int32), np.full((4, n * 64), 8, np.int32)
+        # counts by context and outcome: 4 x 4 levels of sureness, and three outcomes back
+        self.by_sure, self.by_past = np.full((n * 16, 4), 8, np.int32), np.full((n * 64, 4), 8, np.int32)
         self.weight = np.full(n, 128, np.int32)
         self.past = np.zeros(n, np.int64)
-        self.lengths = np.full((self.classes, n), 4, np.int32)
-        self.leads = np.full((8, n * self.classes), 4, np.int32)
+        self.lengths = np.full((n, self.classes), 4, np.int32)
+        self.leads = np.full((n * self.classes, 8), 4, np.int32)
         self.before, self.before2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     # The range coder: [low, high] in 64 bits, of which the upper 32 leave once they are settled.
@@ -66,56 +66,68 @@ class Coder:
 
     def _settle(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, decoding: bool) -> None:
         """Stores the intervals, after moving out what is settled. A narrow one that straddles is cut to its larger side."""
-        out = np.flatnonzero((low ^ high <= _LOW) | (high - low < _NARROW))
+        out = ((low ^ high <= _LOW) | (high - low < _NARROW)).nonzero()[0]
         if len(out):
-            lo, hi = low[out], high[out]
-            cut = np.flatnonzero(lo ^ hi > _LOW)
+            lo, hi = low.take(out), high.take(out)
+            cut = (lo ^ hi > _LOW).nonzero()[0]
             if len(cut):
                 a, b = lo[cut], hi[cut]
                 left, right = (a | _LOW) - a, b - (b & ~_LOW)
                 lo[cut], hi[cut] = np.where(left >= right, a, b & ~_LOW), np.where(left >= right, a | _LOW, b)
-            lanes = at[out]
+            lanes = out if at is self.lane else at.take(out)
             if decoding:
-                place = self.next[lanes]
-                self.value[lanes] = self.value[lanes] << _U32 | self.data[place]
+                place = self.next.take(lanes)
+                self.value[lanes] = self.value.take(lanes) << _U32 | self.data.take(place)
                 self.next[lanes] = place + 1
             else:
-                place = self.used[lanes]
+                place = self.used.take(lanes)
                 if place.max() + 3 >= self.words.shape[1]:
                     self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
                 self.words[lanes, place] = hi >> _U32
                 self.used[lanes] = place + 1
             low[out], high[out] = lo << _U32, hi << _U32 | _LOW
-        self.low[at], self.high[at] = low, high
+        if at is self.lane:
+            self.low, self.high = low, high
+        else:
+            self.low[at], self.high[at] = low, high
+
+    def _interval(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (self.low, self.high) if at is self.lane else (self.low.take(at), self.high.take(at))
+
+    def _offset(self, at: np.ndarray, low: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return ((self.value if at is self.lane else self.value.take(at)) - low) // part
 
     def _symbol(self, at: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
         """Codes one symbol in each lane; counts: symbols x lanes, those of 0 can't occur."""
-        ends = np.cumsum(counts, axis=0, dtype=np.uint64)
-        low = self.low[at]
-        part = (self.high[at] - low) // ends[-1]
+        n = len(at)
+        ends = counts.cumsum(axis=0, dtype=np.int32)
+        low, high = self._interval(at)
+        part = (high - low) // ends[-1].astype(np.uint64)
         decoding = symbol is None
         if decoding:
-            offset = np.minimum((self.value[at] - low) // part, ends[-1] - _ONE)
-            symbol = (offset >= ends[:-1]).sum(axis=0)
-        each = np.arange(len(at))
-        end, own = ends[symbol, each], counts[symbol, each].astype(np.uint64)
-        low = low + part * (end - own)
-        self._settle(at, low, low + part * own - _ONE, decoding)
+            offset = np.minimum(self._offset(at, low, part), (ends[-1] - 1).astype(np.uint64)).astype(np.int32)
+            symbol = (offset >= ends[0]).astype(np.int64)
+            for end in ends[1:-1]:
+                symbol += offset >= end
+        cell = symbol * n + self.lane[:n]
+        end, own = ends.reshape(-1).take(cell), counts.reshape(-1).take(cell)
+        low = low + part * (end - own).astype(np.uint64)
+        self._settle(at, low, low + part * own.astype(np.uint64) - _ONE, decoding)
         return symbol
 
     def _adaptive(self, table: np.ndarray, at: np.ndarray, cell: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
         """A symbol by the counts of a context, which learn it."""
-        symbol = self._symbol(at, table[:, cell], symbol)
+        symbol = self._symbol(at, _counts(table, cell), symbol)
         _learn(table, cell, symbol)
         return symbol
 
     def _plain(self, at: np.ndarray, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         """Codes numbers of so many bits, all alike probable."""
-        low = self.low[at]
-        part = (self.high[at] - low) >> bits
+        low, high = self._interval(at)
+        part = (high - low) >> bits
         decoding = value is None
         if decoding:
-            value = np.minimum((self.value[at] - low) // part, (_ONE << bits) - _ONE)
+            value = np.minimum(self._offset(at, low, part), (_ONE << bits) - _ONE)
         low = low + part * value
         self._settle(at, low, low + part - _ONE, decoding)
         return value
@@ -141,16 +153,16 @@ class Coder:
 
     def step(self, ids: np.ndarray | None) -> np.ndarray:
         """Codes one id in each lane."""
-        one, two = self.before, self.before2
+        one, two, lane = self.before, self.before2, self.lane
         h1 = self.slot + (one * np.uint32(2654435761) >> np.uint32(21))
         h2 = self.slot + (one * np.uint32(2246822519) + two * np.uint32(3266489917) >> np.uint32(21))
-        guess2, guess1, guess0 = self.ids2[h2], self.ids1[h1], self.top
-        s2, s1 = self.sure2[h2], self.sure1[h1]
+        guess2, guess1, guess0 = self.ids2.take(h2), self.ids1.take(h1), self.top
+        s2, s1 = self.sure2.take(h2), self.sure1.take(h1)
         there2 = guess2 != EMPTY
         there1 = (guess1 != EMPTY) & (guess1 != guess2)
         there0 = (guess0 != EMPTY) & (guess0 != guess2) & (guess0 != guess1)
-        a, b = self.lane * 16 + LEVEL[s2] * 4 + LEVEL[s1], self.lane * 64 + self.past
-        ca, cb = self.by_sure[:, a], self.by_past[:, b]
+        a, b = lane * 16 + PAIR.take(s2 << 4 | s1), lane * 64 + self.past
+        ca, cb = _counts(self.by_sure, a), _counts(self.by_past, b)
         w = self.weight
         counts = ca * w + cb * (256 - w) >> 4
         counts[0] *= there2
@@ -159,14 +171,15 @@ class Coder:
         outcome = None
         if ids is not None:
             outcome = np.where(there2 & (ids == guess2), 0, np.where(there1 & (ids == guess1), 1, np.where(there0 & (ids == guess0), 2, MISS)))
-        outcome = self._symbol(self.lane, counts, outcome)
+        outcome = self._symbol(lane, counts, outcome)
         # the weight moves toward the context that gave the outcome more
-        better = ca[outcome, self.lane] * cb.sum(axis=0) > cb[outcome, self.lane] * ca.sum(axis=0)
-        self.weight = (w + np.where(better, 4, -4)).clip(16, 240)
+        cell = outcome * self.n + lane
+        better = ca.reshape(-1).take(cell) * (cb[0] + cb[1] + cb[2] + cb[3]) > cb.reshape(-1).take(cell) * (ca[0] + ca[1] + ca[2] + ca[3])
+        self.weight = np.minimum(np.maximum(w + np.where(better, 4, -4).astype(np.int32), 16), 240)
         _learn(self.by_sure, a, outcome)
         _learn(self.by_past, b, outcome)
         self.past = (self.past << 2 | outcome) & 63
-        miss = np.flatnonzero(outcome == MISS)
+        miss = (outcome == MISS).nonzero()[0]
         if ids is None:
             got = np.where(outcome == 0, guess2, np.where(outcome == 1, guess1, guess0))
             if len(miss):
@@ -174,16 +187,15 @@ class Coder:
         else:
             got = ids
             if len(miss):
-                self._literal(miss, ids[miss])
+                self._literal(miss, ids.take(miss))
         for table, sures, h, guess, sure in ((self.ids2, self.sure2, h2, guess2, s2), (self.ids1, self.sure1, h1, guess1, s1)):
-            right = got == guess
             table[h] = np.where(sure < 2, got, guess)
-            sures[h] = np.where(right, UP[sure], DOWN[sure])
+            sures[h] = NEXT.take(sure + ((got == guess) << np.uint8(4)))
         c = self.slot + (got & np.uint32(SLOTS - 1))
-        count = self.seen[c] + np.uint16(1)
+        count = self.seen.take(c) + np.uint16(1)
         self.seen[c] = count
         more = count > self.top_n
-        self.top, self.top_n = np.where(more, got, self.top), np.where(more, count, self.top_n)
+        self.top, self.top_n = np.where(more, got, self.top), np.maximum(count, self.top_n)
         self.before2, self.before = one, got
         return got
 
@@ -194,19 +206,26 @@ class Coder:
         return [w[: k + 2].astype("<u4").tobytes() for w, k in zip(self.words, self.used.tolist(), strict=True)]
 
 
-#: A prediction's sureness rises by one with each hit and falls by half with each miss; four levels of it make contexts.
-UP = np.minimum(np.arange(16) + 1, 15).astype(np.uint8)
-DOWN = np.where(np.arange(16) < 2, 1, np.arange(16) >> 1).astype(np.uint8)
+#: A prediction's sureness falls by half with each miss and rises by one with each hit (from 16 on here); two times four
+#: levels of it make contexts.
+NEXT = np.concatenate([np.where(np.arange(16) < 2, 1, np.arange(16) >> 1), np.minimum(np.arange(16) + 1, 15)]).astype(np.uint8)
 LEVEL = np.array([0, 1, 2, 2] + [3] * 12, np.int64)
+PAIR = (LEVEL[:, None] * 4 + LEVEL[None, :]).reshape(-1)
+
+
+def _counts(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The counts of contexts, symbols x contexts; in the table a context's counts lie together."""
+    return np.ascontiguousarray(table.take(cell, axis=0).T)
 
 
 def _learn(table: np.ndarray, cell: np.ndarray, symbol: np.ndarray) -> None:
     """Adds to the symbols' counts in their contexts, and halves the counts of full ones."""
-    now = table[symbol, cell] + GAIN
-    table[symbol, cell] = now
+    flat, place = table.reshape(-1), cell * table.shape[1] + symbol
+    now = flat.take(place) + GAIN
+    flat[place] = now
     full = cell[now > FULL]
     if len(full):
-        table[:, full] = table[:, full] + 1 >> 1
+        table[full] = table.take(full, axis=0) + 1 >> 1
 
 
 def encode(ids: np.ndarray, class_bits: int = 4, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
