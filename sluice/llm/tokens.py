@@ -22,10 +22,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 GENERATION = 400_000
 LONGEST = 48
 #: Documents whose pieces are looked up together.
-GROUP = 64
-_STRANGE = "\x01\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
-#: Blanks that must be seen together with their neighbours.
-JOINED = {"kept": re.compile(f"[\t\r\0{_STRANGE}]|[ \n][ \n]|[ \n]\\Z"), "dropped": re.compile(f"[{_STRANGE}]")}
+GROUP = 128
+#: Blanks that must be seen together with their neighbours, and what marks pieces here.
+_STRANGE = (*"\0\x01\x0b\x0c\x1c\x1d\x1e\x1f", *"\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+JOINED = {"kept": ("  ", "\n\n", " \n", "\n ", "\t", "\r", *_STRANGE), "dropped": _STRANGE}
+#: A piece is letters with or without a blank before them, then the rest: where letters end, every tokenizer here splits.
+_PARTS = re.compile(r"([ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#%$&]+)")
 #: What stands between pieces that are encoded in one go; it is in no piece and always a single token of its own.
 BETWEEN = {"kept": "\r", "dropped": " \x01 "}
 _LOADED: dict[tuple[str, str | None], Encoder] = {}
@@ -60,6 +62,10 @@ class Encoder:
                 return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return self._whole(pieces)
 
+    def _odd(self, text: str) -> bool:
+        """Whether blanks could join in this text."""
+        return any(c in text for c in JOINED[self.rule]) or (self.rule == "kept" and text[-1:] in (" ", "\n"))
+
     def _pieces(self, text: str) -> list[str]:
         if self.rule == "dropped":
             return (text.lower() if text.isascii() else text).split()
@@ -71,16 +77,20 @@ class Encoder:
         if len(new) > GENERATION:
             new, old = {}, new
             self.new, self.old = new, old
-        fresh, lasting = [], {}
-        for p in pieces:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                else:
-                    fresh.append(p)
+        fresh, lasting, halves = [], {}, {}
+        for p in pieces.difference(new):
+            if p in old:
+                new[p] = old[p]
+            elif (m := _PARTS.fullmatch(p)) and not (m[1][0] == "\n" and self.rule == "kept"):
+                halves[p] = m.groups()
+            else:
+                fresh.append(p)
+        fresh += {h for pair in halves.values() for h in pair if h not in new and h not in old}.difference(fresh)
         for at in range(0, len(fresh), 4096):
             for p, ids in zip(part := fresh[at : at + 4096], self._many(part), strict=True):
                 (new if len(p) <= LONGEST else lasting)[p] = ids
+        for p, pair in halves.items():
+            (new if len(p) <= LONGEST else lasting)[p] = b"".join(new[h] if h in new else lasting[h] if h in lasting else old[h] for h in pair)
         return lasting
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -91,8 +101,7 @@ class Encoder:
             if self.rule is None:
                 out += self._whole(group)
                 continue
-            odd = JOINED[self.rule].search
-            split = [None if odd(t) else self._pieces(t) for t in group]
+            split = [None if self._odd(t) else self._pieces(t) for t in group]
             long = self._learn(set().union(*(s for s in split if s is not None)))
             look = self.new.__getitem__ if not long else lambda p, n=self.new, x=long: n[p] if p in n else x[p]
             out += [b"".join(map(look, s)) if s is not None else self._whole([t])[0] for s, t in zip(split, group, strict=True)]
