@@ -91,3 +91,11 @@ def free_segments(log: DataFrame, size: int) -> DataFrame:
     runs = used.withColumn("new", (F.col("used") != F.coalesce(F.lag("used").over(w), F.lit(-1))).cast("long"))
     runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("used = 0")
     return runs.groupBy("disk", "run").agg(F.min("at").alias("start"), F.max("to").alias("end")).select("disk", "start", (F.col("end") - F.col("start")).alias("length"))
+
+
+def measure(steps: DataFrame, spans: DataFrame) -> DataFrame:
+    """The cost of spans (span, trace_id, first, last) of a replay's steps, both ends included; spans may nest and overlap."""
+    after = steps.select("trace_id", F.col("seq").alias("last"), F.col("total").alias("__a"))
+    w = Window.partitionBy("trace_id").orderBy("seq")
+    before = steps.select("trace_id", F.col("seq").alias("first"), F.coalesce(F.lag("total").over(w), F.lit(0)).alias("__b"))
+    return spans.join(after, ["trace_id", "last"]).join(before, ["trace_id", "first"]).select("span", (F.col("__a") - F.col("__b")).alias("total"))

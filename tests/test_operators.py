@@ -357,6 +357,9 @@ def test_cost_model(spark):
     trace = frame(spark, [("t", i, x, w) for i, (x, w) in enumerate([(5, False), (5, True), (15, True), (25, False), (35, False)])], "trace_id string, seq long, flat_index long, is_write boolean")
     assert [r["total"] for r in iomodel.simulate_block_io(trace, 10, 30, steps=True).orderBy("seq").collect()] == [1, 1, 2, 3, 5]
     assert rows(iomodel.simulate_block_io(trace, 10, 30)) == [("t", 4, 1, 3, 8)]
+    steps = iomodel.simulate_block_io(trace, 10, 30, steps=True)
+    spans = frame(spark, [("all", "t", 0, 4), ("inner", "t", 2, 3)], "span string, trace_id string, first long, last long")
+    assert rows(iomodel.measure(steps, spans)) == [("all", 5), ("inner", 2)]
     write = frame(spark, [("w", i, i, True) for i in range(30)], "trace_id string, seq long, flat_index long, is_write boolean")
     assert rows(iomodel.simulate_block_io(write, 10, 30)) == [("w", 3, 0, 3, 6)]
 
