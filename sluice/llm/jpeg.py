@@ -30,6 +30,9 @@ ROW = 8191
 #: The order of a block's coefficients, as the format has it.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: ((s := i // 8 + i % 8), i // 8 if s % 2 else i % 8)))
 BANDS = ((1, 5), (6, 63))
+#: The encoder's own code lengths: of DC sizes, and of the AC symbols (seven bits without a run) and end-of-band runs.
+DC_LENGTHS = tuple(enumerate((2, 3, 3, 3, 3, 3, 4, 5, 6, 7)))
+AC_LENGTHS = ((0x07, 1), *((n << 4, 5) for n in range(15)))
 
 
 class JpegError(ValueError):
@@ -43,8 +46,10 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _dht(kind: int, lengths: dict[int, int]) -> bytes:
-    """A table from symbol to code length."""
+@lru_cache(maxsize=8)
+def _dht(kind: int, pairs: tuple[tuple[int, int], ...]) -> bytes:
+    """A table from symbols and their code lengths."""
+    lengths = dict(pairs)
     order = sorted(lengths, key=lambda s: (lengths[s], s))
     return _segment(0xC4, bytes([kind]) + bytes(sum(lengths[s] == n for s in order) for n in range(1, 17)) + bytes(order))
 
@@ -93,7 +98,7 @@ def encode(payload: bytes) -> bytes:
     low_dc = np.packbits(np.concatenate([(value & 1).reshape(-1).astype(np.uint8), np.ones(-value.size % 8, np.uint8)])).tobytes()
     out = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", len(payload))), _segment(0xDB, b"\0" + b"\1" * 64)]
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, 8 * high, 8 * wide, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3))))
-    out += [_dht(0x00, dict(enumerate(lengths.tolist()))), _dht(0x10, {0x07: 1} | {n << 4: 5 for n in range(15)})]
+    out += [_dht(0x00, DC_LENGTHS), _dht(0x10, AC_LENGTHS)]
     out += [_sos([1, 2, 3], 0, (0, 0), 0, 1), _stuff(dc)]
     # AC: the symbol (no run, seven bits) is one zero bit, and the seven bits are those of the byte but its last
     for c in (0, 1, 2):
@@ -186,31 +191,26 @@ def _refine(reader: _Reader, c: np.ndarray, k: int, bit: int) -> None:
         c[k] += bit if c[k] > 0 else -bit
 
 
-def _scan_dc(reader: _Reader, blocks: list[tuple[int, np.ndarray, int]], tables: list, high: int, low: int) -> None:
-    """blocks: component and place in its array, in the order of the stream."""
-    if high:
-        bits = np.unpackbits(np.frombuffer(reader.data, np.uint8))
-        if len(bits) < len(blocks):
-            raise JpegError("the scan ends early")
-        for (_, array, i), b in zip(blocks, bits.tolist(), strict=False):
-            if b:
-                array[i, 0] |= 1 << low
-        return
-    # The interval's bits as one integer, read through a window of 32 bits at each symbol.
-    data, at, last = reader.data + b"\xff" * 8, 0, {}
-    most = 8 * len(reader.data)
-    for c, array, i in blocks:
-        window = int.from_bytes(data[at >> 3 : (at >> 3) + 6], "big") >> 16 - (at & 7) & 0xFFFFFFFF
+def _scan_dc(data: bytes, which: list[int], tables: dict[int, list[int]]) -> list[int]:
+    """The values of a first DC scan; which: each block's component, in the order of the stream."""
+    # Read through a window of 32 bits at each symbol.
+    most, at, last, out = 8 * len(data), 0, dict.fromkeys(tables, 0), []
+    data, load = data + b"\xff" * 8, int.from_bytes
+    for c in which:
+        begin = at >> 3
+        window = load(data[begin : begin + 6], "big") >> 16 - (at & 7) & 0xFFFFFFFF
         look = tables[c][window >> 16]
         if look < 0:
             raise JpegError("no such code")
         length, n = look >> 8, look & 255
-        v = window >> 32 - length - n & (1 << n) - 1
         at += length + n
         if at > most:
             raise JpegError("the scan ends early")
-        last[c] = last.get(c, 0) + _extend(v, n)
-        array[i, 0] = last[c] << low
+        if n:
+            v = window >> 32 - length - n & (1 << n) - 1
+            last[c] += v if v >> n - 1 else v - (1 << n) + 1
+        out.append(last[c])
+    return out
 
 
 @lru_cache(maxsize=64)
@@ -222,8 +222,12 @@ def _window_table(counts: bytes, symbols: bytes) -> list[int]:
     return out.tolist()
 
 
-def _scan_ac(reader: _Reader, array: np.ndarray, blocks: np.ndarray, table: dict, back: dict, band: tuple[int, int], high: int, low: int) -> None:
+def _scan_ac(reader: _Reader, array: np.ndarray, blocks: np.ndarray | None, table: dict, back: dict, band: tuple[int, int], high: int, low: int) -> None:
+    """blocks: the scan's rows of the array, in order; None if they are all of its rows."""
     first, last = band
+    at_rows = slice(None) if blocks is None else blocks
+    if blocks is None:
+        blocks = np.arange(len(array))
     width, bit = last - first + 1, 1 << low
     if not high:
         # Only one symbol without a run, and it fills every block: fixed places for all.
@@ -242,7 +246,7 @@ def _scan_ac(reader: _Reader, array: np.ndarray, blocks: np.ndarray, table: dict
                     if (cells >> (s & 15) == code).all():
                         v = cells & (1 << (s & 15)) - 1
                         v = np.where(v >> (s & 15) - 1, v, v - (1 << (s & 15)) + 1)
-                        array[blocks, first : last + 1] = (v << low if low == 0 else v * bit).reshape(len(blocks), width)
+                        array[at_rows, first : last + 1] = (v << low if low == 0 else v * bit).reshape(len(blocks), width)
                         return
         run = 0
         for i in blocks.tolist():
@@ -264,8 +268,8 @@ def _scan_ac(reader: _Reader, array: np.ndarray, blocks: np.ndarray, table: dict
                     run = (1 << r) + reader.bits(r) - 1
                     break
         return
-    full = (array[blocks, first : last + 1] != 0).all(axis=1)
-    flags = np.unpackbits(np.frombuffer(reader.data, np.uint8)) if full.all() else None
+    full = (array[at_rows, first : last + 1] != 0).all()
+    flags = np.unpackbits(np.frombuffer(reader.data, np.uint8)) if full else None
     run, at, bits_at = 0, 0, 0
     while at < len(blocks):
         if flags is not None:
@@ -282,13 +286,15 @@ def _scan_ac(reader: _Reader, array: np.ndarray, blocks: np.ndarray, table: dict
             r >>= 4
             run = (1 << r) + (int("".join(map(str, flags[bits_at : bits_at + r])), 2) if r else 0)
             bits_at += r
-            own = blocks[at : at + run]
-            got = flags[bits_at : bits_at + len(own) * width].astype(np.int32)
-            if len(got) < len(own) * width:
+            n = min(run, len(blocks) - at)
+            own = slice(at, at + n) if isinstance(at_rows, slice) else blocks[at : at + n]
+            got = flags[bits_at : bits_at + n * width]
+            if len(got) < n * width:
                 raise JpegError("the scan ends early")
             now = array[own, first : last + 1]
-            array[own, first : last + 1] = now + np.sign(now) * (got.reshape(len(own), width) * bit)
-            bits_at += len(own) * width
+            step = got.reshape(n, width).astype(np.int32) << low
+            array[own, first : last + 1] = now + np.where(now > 0, step, -step)
+            bits_at += n * width
             at += run
             continue
         c, k = array[blocks[at]], first
@@ -406,17 +412,31 @@ def decode(data: bytes) -> Picture:
                 step = restart or units
                 for k, part in enumerate(_intervals(data, after)):
                     span = range(k * step, min(units, (k + 1) * step))
-                    reader = _Reader(part)
                     if first:
                         table, back = _huffman(*tables[0x10 | own[0][1] & 15])
-                        _scan_ac(reader, c.coefficients, order[span.start : span.stop], table, back, (first, last), high, low)
+                        if c.own_wide == c.wide:  # the scan's blocks lie together
+                            _scan_ac(_Reader(part), c.coefficients[span.start : span.stop], None, table, back, (first, last), high, low)
+                        else:
+                            _scan_ac(_Reader(part), c.coefficients, order[span.start : span.stop], table, back, (first, last), high, low)
                         continue
                     if n == 1:
-                        blocks = [(own[0][0], c.coefficients, int(i)) for i in order[span.start : span.stop]]
+                        which, places = np.full(len(span), own[0][0]), order[span.start : span.stop]
+                    else:
+                        across, m = -(-picture.width // (8 * hmax)), np.arange(span.start, span.stop)
+                        cells = [(i, (m // across * p.v + y) * p.wide + m % across * p.h + x) for i, _ in own for p in (picture.components[i],) for y in range(p.v) for x in range(p.h)]
+                        which, places = np.tile([i for i, _ in cells], len(m)), np.stack([at for _, at in cells], 1).reshape(-1)
+                    if high:
+                        values = np.unpackbits(np.frombuffer(part, np.uint8))[: len(which)].astype(np.int32)
+                        if len(values) < len(which):
+                            raise JpegError("the scan ends early")
                     else:
-                        across = -(-picture.width // (8 * hmax))
-                        blocks = [(i, p.coefficients, (m // across * p.v + y) * p.wide + m % across * p.h + x) for m in span for i, _ in own for p in (picture.components[i],) for y in range(p.v) for x in range(p.h)]
-                    _scan_dc(reader, blocks, {i: _window_table(*tables[t >> 4]) for i, t in own} if not high else {}, high, low)
+                        values = np.array(_scan_dc(part, which.tolist(), {i: _window_table(*tables[t >> 4]) for i, t in own}), np.int32)
+                    for i, _ in own:
+                        mine = which == i
+                        if high:
+                            picture.components[i].coefficients[places[mine], 0] |= values[mine] << low
+                        else:
+                            picture.components[i].coefficients[places[mine], 0] = values[mine] << low
             except (KeyError, IndexError) as e:
                 raise JpegError(f"a broken scan: {e!r}") from e
     if picture is None:
