@@ -86,15 +86,15 @@ class Model:
         return self.languages[order[0]], float(1 / share.sum()), bool(loss[order[1]] - loss[order[0]] < self.margin)
 
 
-def fit(x: np.ndarray, labels: list[str], margin: float, rounds: int = 300, ridge: float = 1e-4) -> Model:
-    """Full-batch logistic regression for all bits at once, with momentum."""
+def fit(x: np.ndarray, labels: list[str], margin: float, rounds: int = 300, ridge: float = 1e-4, *, keep: bool = True) -> Model:
+    """Full-batch logistic regression for all bits at once, with momentum. keep: whether x may not be overwritten."""
     names = sorted(set(labels))
     codes = codewords(len(names))
     weights, bias = np.zeros((x.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     if len(names) > 1:
         y = codes[[names.index(v) for v in labels]].astype(np.float32)
         mean = x.mean(0)
-        z, speed_w, speed_b = x - mean, np.zeros_like(weights), np.zeros_like(bias)
+        z, speed_w, speed_b = np.subtract(x, mean, out=None if keep else x), np.zeros_like(weights), np.zeros_like(bias)
         for _ in range(rounds):
             pull = -y / (1 + np.exp(y * (z @ weights + bias)))
             speed_w = 0.9 * speed_w - 8.0 * (z.T @ pull / len(z) + ridge * weights)
@@ -139,7 +139,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     for i, r in enumerate(kept):
         counts = np.frombuffer(bytes(r["counts"]), "<u4").astype(np.float64)
         x[i, np.frombuffer(bytes(r["cells"]), "<u2")] = np.sqrt(counts / max(1.0, counts.sum()))
-    return fit(x, [r["lang"] for r in kept], margin)
+    labels = [r["lang"] for r in kept]
+    del rows, kept
+    return fit(x, labels, margin, keep=False)
 
 
 def predict(docs: DataFrame, model: Model, *, carry: list[str], text_col: str = "text") -> DataFrame:
