@@ -59,7 +59,7 @@ def _matches(rule: Rule, rank: int) -> F.Column:
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows (blob, kind, rank, start, end) of all findings in (blob, text)."""
+    """Rows (blob, kind, rank, start, end) of all findings in (blob, text), one row for each blob."""
     arrays = [_matches(r, i) for i, r in enumerate(rules)]
     hit = blobs.select("blob", F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull())).alias("m")).filter(F.size("m") > 0)
     rows = hit.select("blob", F.explode("m").alias("m")).select("blob", "m.*")
@@ -87,9 +87,9 @@ def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text
     seen = _read(spark, f"{ledger}/scans", SCANS).filter(F.col("rule_version") == rule_version).select("blob").distinct()
     unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
     # The holder's path is a key too, so a text with very many copies spreads over the tasks.
-    once = full.alias("f").join(unseen.hint("shuffle_hash").alias("u"), F.expr("f.blob = u.blob and f.path <=> u.path"), "left_semi")
+    once = full.alias("f").join(unseen.hint("shuffle_hash").alias("u"), F.expr("f.blob = u.blob and f.path <=> u.path"), "left_semi").dropDuplicates(["blob", "path"])
     ranks = {r.kind: i for i, r in enumerate(rules)}
-    found = find(once.select("blob", "text"), rules).distinct()
+    found = find(once.select("blob", "text"), rules)
     found.select("blob", F.lit(rule_version).alias("rule_version"), "kind", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{ledger}/scans")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("kind"))
