@@ -40,7 +40,9 @@ TEXTS = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright[ \t]|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that are copyright notices: the word before a sign, a year or a placeholder. A line of a wrapped sentence may begin
+#: with the word too, and items (c) of known licences begin with "you" or "under"; those are wording.
+COPYRIGHT = r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|[©0-9<\[{])[^\n]*|©[^\n]*|all rights reserved[^\n]*|\(c\)[ \t]*(?:[^ \tyu\n][^\n]*|y(?:[^o\n]|o[^u\n])[^\n]*|u(?:[^n\n]|n[^d\n])[^\n]*)?)$"
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 ANY_SPELLING = " (?:" + "|".join(a for a, _ in SPELLINGS) + ") "
 

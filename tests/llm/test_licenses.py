@@ -1,6 +1,7 @@
 """Canonical digests: spellings, marks and copyright lines don't matter, words do."""
 
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,16 @@ def test_notices(spark):
     data = [(1, "Some words.\nReleased under the MIT Licence.\nMore"), (2, "Licensed under CC BY-NC 4.0. And on. This work is licensed under the GNU GPL, version 3!"), (3, "Not released under the MIT License."), (4, "LICENSED UNDER THE APACHE LICENSE VERSION 2.0\n" * 3), (5, None)]
     got = {r["id"]: r["notices"] for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "CC-BY-NC-4.0,GPL-3.0-only", 3: "", 4: "Apache-2.0", 5: ""}
+
+
+def test_wrapping_keeps_wording(spark):
+    isc = licenses.TEXTS[1][1]
+    head, body = isc.split("\n\n", 1)
+    wrapped = [head + "\n\nCopyright (c) 2020 Someone\nCopyright 2021 Other\nCopyright © 2022 B\nCopyright [yyyy] [name]\n\n" + "\n\n".join(textwrap.fill(x, width) for x in body.split("\n\n")) for width in range(30, 90)]
+    assert any("\ncopyright notice" in t for t in wrapped)
+    rows = [*enumerate(wrapped), (1000, isc.replace("copyright notice and", "copyright notice\ncopyright holders and"))]
+    got = {r["id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(1000) is None and set(got.values()) == {"ISC"}
+    kept = ["(c) You must retain", "(c) under Patent Claims", "copyright license to reproduce"]
+    forms = spark.createDataFrame([(t,) for t in kept], "text string").select(licenses.canonical(F.col("text"))).collect()
+    assert all(r[0] for r in forms)
