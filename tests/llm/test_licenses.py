@@ -54,3 +54,14 @@ def test_wrapping_keeps_wording(spark):
     kept = ["(c) You must retain", "(c) under Patent Claims", "copyright license to reproduce"]
     forms = spark.createDataFrame([(t,) for t in kept], "text string").select(licenses.canonical(F.col("text"))).collect()
     assert all(r[0] for r in forms)
+
+
+def test_whole_files(spark):
+    texts = dict(reversed(licenses.TEXTS))
+    rows = []
+    for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "CC-BY-SA-4.0", "Unlicense"):
+        rows += [(name, texts[name]), (None, texts[name][: len(texts[name]) // 2])]
+    mit, zero = licenses.TEXTS[0][1], licenses.TEXTS[2][1]
+    rows += [("MIT", "Copyright (c) 2020 A\n\n" + mit.split("\n\n", 1)[1]), ("0BSD", "Zero-Clause BSD\n\n" + zero)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["id"] for r in got)
