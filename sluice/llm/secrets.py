@@ -1,23 +1,27 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame functions alone.
 
-Every version of a text is addressed by the SHA-256 of its bytes. The ledger, two Parquet tables, remembers which pairs
-of blob and rule version were scanned and what was found. A run scans each blob that is new under the current rules
-once, whatever number of paths or versions hold it, adds both tables' rows and joins the findings back to all paths.
-Findings are written before the scan marks, and repeated ones are dropped on reading, so a run that was cut short is
-safe to repeat.
+Every version of a text is addressed by the SHA-256 of its bytes. The ledger is three Parquet tables: which blob every
+version of every path held, a folder for each run; which pairs of blob and rule version were scanned; and what was
+found. A run scans each blob that is new under the current rules once, whatever number of paths or versions hold it, adds
+its rows and joins the findings of its blobs back to its paths; history() does so for all paths of all runs. Findings
+are written before the scan marks, and repeated ones count once, so a run that was cut short is safe to repeat.
 
-Positions come from splitting a text at a rule's matches: the lengths of the pieces and of the matches, added up, are
-the spans in code points. Only texts that a rule matches at all are split.
+Texts are shuffled once, one of each blob from each task. Positions come from splitting a text at a rule's matches: the
+lengths of the pieces and of the matches, added up, are the spans in code points. Only texts that a rule matches at all
+are split.
 
 Defined results: a null text counts as empty; a row with a null path is scanned and reported like any other; repeated
-rows each get their blob's findings; an empty table gives an empty result.
+rows each get their blob's findings; equal starts are told in the order of the rules; a text of any length is scanned
+whole; columns other than the path's and the text's are left out, whatever their names; an empty table gives an empty
+result. Paths are kept as strings and come back in their own type.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import fresh_path, materialize
@@ -68,37 +72,66 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.withColumn("end", end).filter("ok").select("blob", "kind", "rank", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
-def _read(spark, path: str, schema: str) -> DataFrame:
-    """A ledger table; empty if it was never written."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A ledger table; None if it was never written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
+def scan(
+    versions: DataFrame,
+    *,
+    path_col: str = "doc_id",
+    text_col: str = "text",
+    ledger: str | None = None,
+    rules: tuple[Rule, ...] = RULES,
+    rule_version: str = RULE_VERSION,
+) -> DataFrame:
     """Rows (path, blob, findings), one for each row of versions; findings: sorted array of (start, rank, end, kind).
 
     ledger: folder that keeps the ledger from run to run; None starts a new one in the shared folder.
     """
     spark, ledger = versions.sparkSession, ledger or fresh_path(versions.sparkSession, "ledger")
-    full = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    paths = materialize(full.select("path", "blob"), "paths")
-    seen = _read(spark, f"{ledger}/scans", SCANS).filter(F.col("rule_version") == rule_version).select("blob").distinct()
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
-    # The holder's path is a key too, so a text with very many copies spreads over the tasks.
-    once = full.alias("f").join(unseen.hint("shuffle_hash").alias("u"), F.expr("f.blob = u.blob and f.path <=> u.path"), "left_semi").dropDuplicates(["blob", "path"])
-    ranks = {r.kind: i for i, r in enumerate(rules)}
-    found = find(once.select("blob", "text"), rules)
+    kind = versions.schema[path_col].dataType
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    full = versions.select(F.col(path_col).cast("string").alias("path"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
+    own = f"{ledger}/versions/run={uuid.uuid4().hex}"
+    full.select("path", "blob").write.parquet(own)
+    paths = spark.read.schema("path string, blob string").parquet(own)
+    # One text for each blob: equal texts are reduced in the tasks that read them, before the only shuffle of texts.
+    blobs = full.groupBy("blob").agg(F.first("text").alias("text"))
+    fresh, seen = paths.select("blob").distinct(), _read(spark, f"{ledger}/scans", SCANS)
+    if seen is not None:
+        seen = seen.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+        blobs, fresh = blobs.join(seen, "blob", "left_anti"), materialize(fresh.join(seen, "blob", "left_anti"), "fresh")
+    found = find(blobs.select("blob", "text"), rules)
     found.select("blob", F.lit(rule_version).alias("rule_version"), "kind", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
-    unseen.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{ledger}/scans")
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("kind"))
-    all_found = _read(spark, f"{ledger}/findings", FINDINGS).filter(F.col("rule_version") == rule_version).distinct()
-    lists = all_found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("findings"))
+    fresh.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{ledger}/scans")
+    lists = _lists(spark, ledger, rules, rule_version, paths.select("blob").distinct())
+    return _told(paths, lists).withColumn("path", F.col("path").cast(kind))
+
+
+def _lists(spark, ledger: str, rules: tuple[Rule, ...], rule_version: str, blobs: DataFrame | None) -> DataFrame:
+    """Rows (blob, findings) of the ledger, of all blobs or those asked for. A set, as a run that was repeated wrote twice."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)]), F.col("kind"))
+    rows = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").filter(F.col("rule_version") == rule_version)
+    if blobs is not None:
+        rows = rows.join(blobs, "blob", "left_semi")
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("findings"))
+
+
+def _told(paths: DataFrame, lists: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")
     return paths.join(lists, "blob", "left").select("path", "blob", F.coalesce("findings", empty).alias("findings"))
 
 
+def history(spark: SparkSession, ledger: str, *, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Rows (path, blob, findings) of every version that any run put into the ledger, paths as strings, each pair once."""
+    versions = spark.read.schema("path string, blob string").parquet(f"{ledger}/versions").select("path", "blob").distinct()
+    return _told(versions, _lists(spark, ledger, rules, rule_version, None))
+
+
 def spans(findings: F.Column) -> F.Column:
     """kind:start:end of each finding, comma-joined."""
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
