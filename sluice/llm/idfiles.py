@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import mixcoder
 from sluice.llm.common import fresh_path, map_rows, materialize
-from sluice.llm.tokens import Encoder
+from sluice.llm.tokens import Encoder, with_end
 
 MAGIC = b"IDMIX1\n"
 #: Ids in a group, about: as many blocks as are coded side by side.
@@ -77,7 +77,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, rule: s
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = slim.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
-    end = int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -85,25 +84,26 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, rule: s
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at, recursive=True)
         encoder, name, out = Encoder.of(tokenizer, rule), f"{uuid.uuid4().hex}.ids", None
-        names, data, size, docs_n, ids_n = [], [], 0, 0, 0
+        names, sizes, data, size, docs_n, ids_n = [], [], [], 0, 0, 0
 
         def flush() -> None:
-            nonlocal names, data, size, docs_n, ids_n
-            ids = np.frombuffer(b"".join(data), "<u4")
-            out.write(group_bytes(names, [len(x) // 4 for x in data], ids, class_bits))
+            nonlocal names, sizes, data, size, docs_n, ids_n
+            ids = np.concatenate(data)
+            out.write(group_bytes(names, sizes, ids, class_bits))
             docs_n, ids_n = docs_n + len(names), ids_n + len(ids)
-            names, data, size = [], [], 0
+            names, sizes, data, size = [], [], [], 0
 
         for b in batches:
             if b.num_rows and out is None:
                 out = store.open_output_stream(f"{at}/{name}", compression=None)
                 out.write(MAGIC)
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                names.append(i)
-                data.append(ids + end)
-                size += len(data[-1]) // 4
-                if size >= GROUP:
-                    flush()
+            ids, ends = with_end(*encoder.encode_all(b.column(1)), end_id)
+            names += b.column(0).to_pylist()
+            sizes += np.diff(ends, prepend=0).tolist()
+            data.append(ids)
+            size += len(ids)
+            if size >= GROUP:
+                flush()
         if out is None:
             return
         if names:

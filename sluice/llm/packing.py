@@ -4,12 +4,14 @@ Documents become token ids; only those longer than a sequence are cut. The piece
 bounded size, by a hash of their row, and each partition packs its pieces by best-fit decreasing. Dual feasible
 functions then give a lower bound on the sequences that any packing of those pieces needs. A partition that meets its
 bound is settled. Those with a gap give up the pieces of their sequences that are not full; these are dealt anew
-together, so that partitions exchange documents, and packed again. It goes on while that saves sequences.
+together, so that partitions exchange documents, and packed again. It goes on while that saves sequences; what gap is
+left is told with each row.
 
 Only slim rows move: the ids themselves never do. Pieces of full length are sequences of their own.
 
 Defined results: a null text counts as empty and has the end id alone; repeated rows are packed as documents of their
-own; equal lengths are taken in the order of id, piece and row; an empty table gives an empty result.
+own; equal lengths are taken in the order of id, piece and row; a text of any length is encoded whole; columns other
+than the id's and the text's are left out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,31 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import discard, map_rows, materialize
-from sluice.llm.tokens import Encoder
+from sluice.llm.tokens import Encoder, with_end
 
 CAPACITY = 2048
 #: Pieces in a packing partition, about.
 PART = 200_000
-MAX_ROUNDS = 8
+#: Rounds of exchange that sequence ids have room for; they end as soon as one saves nothing.
+MAX_ROUNDS = 127
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, rule: str | None = "dropped", id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32) of every document, with the end id behind its ids."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
     kind = slim.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer, rule)
         for b in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
-                ids += end
-                for k, p in enumerate(range(0, len(ids), width)):
-                    part = ids[p : p + width]
-                    at.append(i), piece.append(k), start.append(p // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            own = b.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+            ids, ends = with_end(*encoder.encode_all(b.column(1)), end_id)
+            size = np.diff(ends, prepend=0)
+            n = -(-size // capacity)
+            last = np.cumsum(n)
+            piece = np.arange(int(n.sum())) - np.repeat(last - n, n)
+            at, start = np.repeat(np.arange(len(n)), n), piece * capacity
+            length = np.minimum(capacity, size[at] - start)
+            begin, data = 4 * ((ends - size)[at] + start), memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(data[a:e]) for a, e in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            columns = [b.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
 
     return map_rows(slim, work, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -118,6 +123,8 @@ def _pack(rows: DataFrame, turn: int, capacity: int) -> DataFrame:
 
 def pack(rows: DataFrame, *, capacity: int = CAPACITY, part_size: int = PART, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Adds sequence_id, offset, held and gap to rows (id, piece, length, ...). gap: sequences over the bound where the row was packed last."""
+    if max_rounds > MAX_ROUNDS:
+        raise ValueError(f"at most {MAX_ROUNDS} rounds")
     if part_size >= 1 << 28:
         raise ValueError("a packing partition holds fewer than 2^28 pieces")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")

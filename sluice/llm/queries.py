@@ -79,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack, pieces
 
     rows = pack(pieces(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
-    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ import pytest
 
 from sluice.llm import idfiles, mixcoder
 from sluice.llm.queries import tokenizer
-from sluice.llm.tokens import Encoder
+from tests.llm.test_packing import library
 
 
 def cases():
@@ -71,11 +71,11 @@ def test_documents_in_order(spark, monkeypatch):
     path = tokenizer("byte_bpe_50k.json")
     got = idfiles.read(idfiles.write(df, path, parts=5), ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((d[0] for d in data), key=lambda x: (x is not None, x or 0))
-    library, at = Encoder(path, None), 0
+    at = 0
     end = (2).to_bytes(4, "little")
     for r in got:
         texts = [t or "" for i, t in data if i == r["doc_id"]]
-        assert bytes(r["ids"]) in [x + end for x in library.encode(texts)]
+        assert bytes(r["ids"]) in [x + end for x in library("byte_bpe_50k.json", texts)]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(bytes(r["ids"])))
         at += r["n_tokens"]
     assert idfiles.read(idfiles.write(df.limit(0), path)).collect() == []

@@ -4,12 +4,20 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
 
-from sluice.llm import packing
+from sluice.llm import packing, tokens
 from sluice.llm.queries import tokenizer
 from sluice.llm.tokens import Encoder
 
-ODD = ["a", "é", "É", "Σ", "ς", " ", "  ", "\n", "\t", "'s", "'S", "don't", "1", "23", "!!", ".", ",", "é", "́", " ", "　", "\x1c", "\x01", "<|endoftext|>", "ß", "İ", "日本", "\0", "‍", "😀", "x" * 60, "\r\n"]
+ODD = ["a", "é", "É", "Σ", "ς", " ", "  ", "\n", "\t", "'s", "'S", "don't", "1", "23", "!!", ".", ",", "é", "́", " ", "　", "\x1c", "\x01", "<|endoftext|>", "<|startoftext|>", "<|endof", "word.", "Straße,", "ß", "İ", "日本", "\0", "‍", "😀", "x" * 60, "\r\n"]
+
+
+def library(name, texts):
+    """The ids by the tokenizer as it is loaded."""
+    own = Tokenizer.from_file(tokenizer(name))
+    return [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_remembered_pieces_give_the_same_ids():
@@ -17,7 +25,21 @@ def test_remembered_pieces_give_the_same_ids():
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(4000)]
     for name, rule in (("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")):
         memo = Encoder(tokenizer(name), rule)
-        assert memo.encode(texts) == memo._whole(texts) == memo.encode(texts)
+        want = library(name, texts)
+        assert memo.encode(texts) == want == memo.encode(texts)
+        assert memo.encode(["", *texts[::-1], "x" * 70000]) == [b"", *want[::-1], *library(name, ["x" * 70000])]
+
+
+def test_the_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", 50)
+    rng = random.Random(4)
+    memo = Encoder(tokenizer("word_bpe_49k.json"), "dropped")
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choice("abcé.,1") for _ in range(rng.randrange(1, 60))) for _ in range(20)) for _ in range(4)]
+        column = pa.array(["cut off", *texts]).slice(1)
+        ids, ends = memo.encode_all(column)
+        assert [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == library("word_bpe_49k.json", texts)
+        assert len(memo.known) < 800 and max(map(len, memo.known.to_pylist())) <= tokens.LONGEST
 
 
 def optimum(items, capacity):
