@@ -1,15 +1,17 @@
 """Token-id files: ids of documents in ascending order of their ids, in groups of range-coded, checksummed blocks.
 
 A file is one range of documents. It holds groups: a header with a JSON line that names the documents, their numbers of
-ids and the blocks (ids, CRC-32, bytes), the header's own CRC-32, then the blocks' bytes. A group closes once it has
-GROUP ids, so both writing and reading hold one group, and a document is never split between groups. The last line names
-the totals. Files of failed attempts stay unnamed: the manifest lists those that count.
+ids and the panels (bytes and CRC-32 of the model, and for each block its ids, CRC-32 and bytes), the header's own CRC-32,
+then models and blocks. A group closes once it has GROUP ids, so both writing and reading hold one group and the batch
+that closed it, and a document is never split between groups. The last line names the totals. Files of failed attempts
+stay unnamed: the manifest lists those that count.
 
 Documents are range-partitioned by id and a hash of the text, so equal ids spread, and sorted by both in their range.
 
 Defined results: a null text counts as empty and has the end id alone; null ids come first; rows that repeat an id
-follow each other in the order of their texts' hashes; an empty table gives no file. A block whose checksum fails is an
-error that names it, as is a header's or a file's end.
+follow each other in the order of their texts' hashes; a text of any length is encoded whole; columns other than the
+id's and the text's are left out, whatever their names; an empty table gives no file. A block whose checksum fails is an
+error that names it, as is a model's, a header's or a file's end.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from sluice.llm import mixcoder
 from sluice.llm.common import fresh_path, map_rows, materialize
 from sluice.llm.tokens import Encoder, with_end
 
-MAGIC = b"IDMIX1\n"
+MAGIC = b"IDMIX2\n"
 #: Ids in a group, about: as many blocks as are coded side by side.
 GROUP = mixcoder.BLOCK * mixcoder.LANES
 
@@ -38,10 +40,12 @@ class BrokenFile(ValueError):
     """A header, block or end that does not check."""
 
 
-def group_bytes(names: list[int | None], sizes: list[int], ids: np.ndarray, class_bits: int) -> bytes:
-    blocks = mixcoder.encode(ids, class_bits)
-    head = json.dumps({"docs": names, "sizes": sizes, "class_bits": class_bits, "blocks": [(n, crc, len(data)) for n, crc, data in blocks]}, separators=(",", ":")).encode()
-    return b"".join([len(head).to_bytes(4, "little"), zlib.crc32(head).to_bytes(4, "little"), head, *(b[2] for b in blocks)])
+def group_bytes(names: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
+    panels = list(mixcoder.encode(ids))
+    told = [{"model": [len(m), zlib.crc32(m)], "blocks": [(n, crc, len(data)) for n, crc, data in blocks]} for m, blocks in panels]
+    head = json.dumps({"docs": names, "sizes": sizes, "panels": told}, separators=(",", ":")).encode()
+    body = [x for m, blocks in panels for x in (m, *(b[2] for b in blocks))]
+    return b"".join([len(head).to_bytes(4, "little"), zlib.crc32(head).to_bytes(4, "little"), head, *body])
 
 
 def read_groups(file) -> Iterator[tuple[list[int | None], list[int], np.ndarray]]:
@@ -62,15 +66,21 @@ def read_groups(file) -> Iterator[tuple[list[int | None], list[int], np.ndarray]
             if told["end"] != [docs, total]:
                 raise BrokenFile("the totals do not check")
             return
-        blocks = [(n, c, file.read(b)) for n, c, b in told["blocks"]]
-        ids = mixcoder.decode(blocks, told["class_bits"])
+        parts = []
+        for panel in told["panels"]:
+            size, crc = panel["model"]
+            model = file.read(size)
+            if zlib.crc32(model) != crc:
+                raise BrokenFile("a model does not check")
+            parts.append(mixcoder.decode(model, [(n, c, file.read(b)) for n, c, b in panel["blocks"]]))
+        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
         if len(ids) != sum(told["sizes"]):
             raise BrokenFile("a group's sizes do not check")
         docs, total = docs + len(told["docs"]), total + len(ids)
         yield told["docs"], told["sizes"], ids
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, rule: str | None = "kept", id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, class_bits: int = 4, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, rule: str | None = "kept", id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, parts: int | None = None) -> DataFrame:
     """Writes the files and returns the manifest: (part, path, docs, ids), part ascending with the documents' ids."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "ids")
@@ -89,7 +99,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, *, rule: s
         def flush() -> None:
             nonlocal names, sizes, data, size, docs_n, ids_n
             ids = np.concatenate(data)
-            out.write(group_bytes(names, sizes, ids, class_bits))
+            out.write(group_bytes(names, sizes, ids))
             docs_n, ids_n = docs_n + len(names), ids_n + len(ids)
             names, sizes, data, size = [], [], [], 0
 

@@ -1,58 +1,189 @@
-"""An adaptive range coder for token ids, with the predictions of three orders mixed.
+"""An adaptive context-mixing range coder for token ids, in blocks that stand alone.
 
-Ids are cut into blocks. Each block starts with a fresh model and is coded on its own, so any block can be read alone
-and checked by its checksum. Blocks are coded side by side: a step codes one id of each block, in numpy, with one lane
-for each block.
+Ids are cut into blocks of BLOCK and blocks into panels. A panel's model, stored once before its blocks, names its
+distinct ids and gives a few order-0 distributions over them; blocks are grouped by the distribution that codes them
+best. Each block starts from its distribution alone, with empty memories, so any block can be read without the others
+and is checked by its checksum. Blocks are coded side by side: a step codes one id of each block, in numpy, with one
+lane for each.
 
-The model predicts an id from the two ids before (order 2), from the one before (order 1) and from the counts of all
-(order 0). Which of the distinct predictions holds, if any, is one symbol. Its probabilities are the counts of two
-contexts, how sure the predictions are and what the last outcomes were, mixed by a weight that learns which of the two
-foretells better. An id that no order predicts is written by its bit length and its next three bits, with adaptive
-counts, then the rest.
+Three orders predict an id. Order 0 gives every id a probability. Orders 1 and 2 remember, for the one or two ids before,
+which id came next and how surely; the surer of the two names the guess. How probable the guess is, is mixed from what
+orders 2 and 1 (adaptive probabilities by sureness and by whether they agree with the guess) and order 0 (its
+probability of the guess) say: in the logistic domain, by weights that learn from every outcome. The interval of an id
+is the guess's share if it is the guess, else its order-0 share of the rest: one step of the range coder.
 
-All arithmetic is in integers: decoding repeats encoding exactly on any machine.
+All arithmetic is in integers, and its tables come from exact decimals: decoding repeats encoding on any machine.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import Decimal, localcontext
+from functools import cache
 
 import numpy as np
 
 #: Ids in a block, and blocks side by side at most.
 BLOCK, LANES = 2048, 4096
-SLOTS = 2048
-EMPTY = np.uint32(0xFFFFFFFF)
-#: Outcomes: order 2, 1 or 0 holds, or none does.
-MISS = 3
-#: What an outcome adds to its count, and from where a context's counts are halved.
-GAIN, FULL = 24, 3000
-_LOW = np.uint64(0xFFFFFFFF)
-_NARROW = np.uint64(1 << 30)
-_U32 = np.uint64(32)
-_ONE = np.uint64(1)
+#: Places that orders 1 and 2 have in a block, as bits.
+SLOT_BITS = 10
+#: Distributions of a panel, and distinct ids it may have.
+TABLES, DISTINCT = 4, 1 << 16
+#: Bits of a guess's probability.
+P = 12
+_TOP, _NARROW, _WORD, _ONE = np.uint64((1 << 32) - 1), np.uint64(1 << 30), np.uint64(32), np.uint64(1)
+
+
+class BrokenBlock(ValueError):
+    """A block whose ids do not have its checksum, or a model that does not check."""
+
+
+@cache
+def logistic() -> tuple[np.ndarray, np.ndarray]:
+    """squash, from 256ths of the logit (-2047 to 2047, at index + 2048) to P bits, and stretch, its inverse."""
+    with localcontext() as context:
+        context.prec = 30
+        step, power = (Decimal(1) / 256).exp(), Decimal(1)
+        up = []
+        for _ in range(2048):
+            up.append(int(4096 * power / (1 + power)))
+            power *= step
+    half = np.clip(np.array(up), 1, 4095)
+    squash = np.concatenate([[1], 4096 - half[:0:-1], half]).astype(np.int64)
+    stretch = np.clip(np.searchsorted(squash, np.arange(4096)), 1, 4095) - 2048
+    return squash, stretch
+
+
+#: A prediction's sureness is halved by a miss and rises by one with a hit; below two, a miss replaces the prediction.
+#: What is added, for misses and hits.
+STEP = np.concatenate([-(np.arange(16) - (np.arange(16) >> 1)), np.where(np.arange(16) < 15, 1, 0)]).astype(np.int64).astype(np.uint32)
+_SURE, _RANK, _HASH = np.uint32(15), np.uint32(4), np.uint32(32 - SLOT_BITS)
+_MIX1, _MIX2, _MIX3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
+
+
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at]; no index is outside, and numpy is faster where it need not raise."""
+    return table.take(at, mode="clip")
+
+
+@dataclass
+class Model:
+    """Distinct ids in ascending order, and distributions over them: shares of 2^bits, rows of them."""
+
+    ids: np.ndarray
+    shares: np.ndarray
+    bits: int
+
+    def to_bytes(self) -> bytes:
+        numbers = np.concatenate([[self.bits, *self.shares.shape], np.diff(self.ids.astype(np.int64), prepend=0), self.shares.reshape(-1)])
+        return zlib.compress(_varints(numbers), 6)
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Model:
+        try:
+            numbers = _numbers(zlib.decompress(data))
+            bits, rows, n = numbers[:3].tolist()
+            return cls(np.cumsum(numbers[3 : 3 + n]).astype(np.uint32), numbers[3 + n :].reshape(rows, n), bits)
+        except (zlib.error, ValueError) as e:
+            raise BrokenBlock("a model does not check") from e
+
+
+def _varints(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^35 by seven bits a byte, the low ones first; the highest bit says that more follow."""
+    size = np.ones(len(numbers), np.int64)
+    for k in range(1, 5):
+        size += numbers >= 1 << 7 * k
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(5):
+        own = size > k
+        out[ends[own] - size[own] + k] = numbers[own] >> 7 * k & 127 | np.where(size[own] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(last[-1] + 1) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw[: last[-1] + 1] & 127) << 7 * place, first)
+
+
+def shares(counts: np.ndarray, bits: int) -> np.ndarray:
+    """Shares of 2^bits in proportion to the counts, none of what occurs being zero."""
+    total = int(counts.sum())
+    out = np.where(counts > 0, np.maximum(1, (counts << bits) // max(1, total)), 0)
+    if not total:
+        return out
+    short = (1 << bits) - int(out.sum())
+    if short > 0:
+        out[out.argmax()] += short
+    for i in np.argsort(-out, kind="stable").tolist() if short < 0 else ():
+        give = min(int(out[i]) // 2, -short)
+        out[i] -= give
+        short += give
+        if not short:
+            break
+    return out
+
+
+def fit(ranks: np.ndarray, used: np.ndarray, distinct: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts for each distribution, and each block's distribution. ranks: blocks x ids, of which so many are used.
+
+    The blocks are grouped by a few rounds on every fourth id, each going to the distribution of least code length.
+    """
+    blocks, width = ranks.shape
+    count = lambda rows, n: np.bincount(rows.reshape(-1) if n is None else rows[np.arange(width) < n[:, None]], minlength=distinct)
+    if blocks < 8 * tables or tables == 1:
+        return count(ranks, used)[None, :], np.zeros(blocks, np.int64)
+    thin = np.ascontiguousarray(ranks[:, ::4])
+    whole = count(thin, None) + 0.5
+    cost = lambda c: (np.log2(c.sum()) - np.log2(c)).astype(np.float32).take(thin).sum(1)
+    smooth = lambda c: c + whole * (64 / whole.sum())
+    # Each first distribution is that of the block which the ones before suit worst.
+    costs = [cost(smooth(np.bincount(thin[0], minlength=distinct)))]
+    while len(costs) < tables:
+        worst = int((np.min(costs, axis=0) - cost(whole)).argmax())
+        costs.append(cost(smooth(np.bincount(thin[worst], minlength=distinct))))
+    for _ in range(3):
+        own = np.argmin(costs, axis=0)
+        costs = [cost(smooth(count(thin[own == k], None))) for k in range(tables)]
+    own = np.argmin(costs, axis=0)
+    full = [count(ranks[own == k], used[own == k]) for k in range(tables)]
+    kept = [k for k in range(tables) if full[k].any()]
+    return np.stack([full[k] for k in kept]), np.searchsorted(kept, own)
 
 
 class Coder:
-    """Codes columns of ids, one row for each block; decodes them if the ids are None."""
+    """Codes columns of ranks, one lane for each block; decodes them if the ranks are None."""
 
-    def __init__(self, lanes: int, class_bits: int):
-        n = lanes
-        self.n, self.classes = n, 1 << class_bits
+    def __init__(self, model: Model, table: np.ndarray):
+        n, self.bits = len(table), model.bits
+        distinct = model.shares.shape[1]
+        self.n, self.lane = n, np.arange(n)
         self.low, self.high = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.lane = np.arange(n)
-        self.slot = self.lane * SLOTS
-        self.ids2, self.ids1 = np.full(n * SLOTS, EMPTY), np.full(n * SLOTS, EMPTY)
-        self.sure2, self.sure1 = np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, np.uint8)
-        self.seen = np.zeros(n * SLOTS, np.uint16)
-        self.top, self.top_n = np.full(n, EMPTY), np.zeros(n, np.uint16)
-        # counts by context and outcome: 4 x 4 levels of sureness, and three outcomes back
-        self.by_sure, self.by_past = np.full((n * 16, 4), 8, np.int32), np.full((n * 64, 4), 8, np.int32)
-        self.weight = np.full(n, 128, np.int32)
-        self.past = np.zeros(n, np.int64)
-        self.lengths = np.full((n, self.classes), 4, np.int32)
-        self.leads = np.full((n * self.classes, 8), 4, np.int32)
-        self.before, self.before2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.squash, self.stretch = logistic()
+        # order 0: shares, where they begin, their stretched probability, and which id has a place
+        self.base, self.cut, self.last = (table * distinct).astype(np.int64), np.uint64(self.bits + P), (1 << self.bits) - 1
+        self.share = model.shares.reshape(-1).astype(np.int64)
+        self.begin = (np.cumsum(model.shares, axis=1) - model.shares).reshape(-1).astype(np.int64)
+        self.zero = self.stretch[np.maximum(self.share >> self.bits - P, 1).clip(max=4095)]
+        self.place = (table << self.bits).astype(np.int64)
+        self.owner = np.concatenate([np.repeat(np.arange(distinct, dtype=np.uint32), s) for s in model.shares])
+        # x // r is x * inverse[r] >> 42 for x below r * 2^bits: the error stays below 2^42
+        self.inverse = np.array([0, *(-(-(1 << 42) // r) for r in range(1, 4097))], np.int64)
+        # orders 1 and 2: rank and sureness by context, and adaptive probabilities by sureness and agreement
+        self.slot = self.lane << SLOT_BITS
+        self.told1, self.told2 = np.zeros(n << SLOT_BITS, np.uint32), np.zeros(n << SLOT_BITS, np.uint32)
+        sure = np.arange(16)
+        start = np.stack([np.full(16, 3000), np.minimum(60000, 65536 * (2 * sure + 1) // (2 * sure + 5))], axis=1).reshape(-1)
+        start[:2] = 1500  # nothing told yet
+        self.prob1, self.prob2 = np.tile(start.astype(np.int64), n), np.tile(start.astype(np.int64), n)
+        self.row = self.lane * 32
+        self.w0, self.w1, self.w2 = (np.full(n, w, np.int64) for w in (16000, 26000, 30000))
+        self.before, self.hash2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     # The range coder: [low, high] in 64 bits, of which the upper 32 leave once they are settled.
 
@@ -60,217 +191,158 @@ class Coder:
         self.words, self.used = np.zeros((self.n, most), np.uint32), np.zeros(self.n, np.int64)
 
     def start_decoding(self, data: np.ndarray, starts: np.ndarray) -> None:
-        """data: all blocks' words, with enough behind them to read on; starts: where each block's begin."""
+        """data: all blocks' 32-bit words, with enough behind them to read on; starts: where each block's begin."""
         self.data, self.next = data, starts + 2
-        self.value = data[starts].astype(np.uint64) << _U32 | data[starts + 1]
+        self.value = data[starts].astype(np.uint64) << _WORD | data[starts + 1]
 
-    def _settle(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, decoding: bool) -> None:
+    def _settle(self, low: np.ndarray, high: np.ndarray, decoding: bool) -> None:
         """Stores the intervals, after moving out what is settled. A narrow one that straddles is cut to its larger side."""
-        out = ((low ^ high <= _LOW) | (high - low < _NARROW)).nonzero()[0]
+        out = ((low ^ high <= _TOP) | (high - low < _NARROW)).nonzero()[0]
         if len(out):
             lo, hi = low.take(out), high.take(out)
-            cut = (lo ^ hi > _LOW).nonzero()[0]
+            cut = (lo ^ hi > _TOP).nonzero()[0]
             if len(cut):
                 a, b = lo[cut], hi[cut]
-                left, right = (a | _LOW) - a, b - (b & ~_LOW)
-                lo[cut], hi[cut] = np.where(left >= right, a, b & ~_LOW), np.where(left >= right, a | _LOW, b)
-            lanes = out if at is self.lane else at.take(out)
+                left = (a | _TOP) - a >= b - (b & ~_TOP)
+                lo[cut], hi[cut] = np.where(left, a, b & ~_TOP), np.where(left, a | _TOP, b)
             if decoding:
-                place = self.next.take(lanes)
-                self.value[lanes] = self.value.take(lanes) << _U32 | self.data.take(place)
-                self.next[lanes] = place + 1
+                place = self.next.take(out)
+                self.value[out] = self.value.take(out) << _WORD | self.data.take(place)
+                self.next[out] = place + 1
             else:
-                place = self.used.take(lanes)
+                place = self.used.take(out)
                 if place.max() + 3 >= self.words.shape[1]:
                     self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-                self.words[lanes, place] = hi >> _U32
-                self.used[lanes] = place + 1
-            low[out], high[out] = lo << _U32, hi << _U32 | _LOW
-        if at is self.lane:
-            self.low, self.high = low, high
-        else:
-            self.low[at], self.high[at] = low, high
-
-    def _interval(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (self.low, self.high) if at is self.lane else (self.low.take(at), self.high.take(at))
-
-    def _offset(self, at: np.ndarray, low: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return ((self.value if at is self.lane else self.value.take(at)) - low) // part
-
-    def _symbol(self, at: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Codes one symbol in each lane; counts: symbols x lanes, those of 0 can't occur."""
-        n = len(at)
-        ends = counts.cumsum(axis=0, dtype=np.int32)
-        low, high = self._interval(at)
-        part = (high - low) // ends[-1].astype(np.uint64)
-        decoding = symbol is None
-        if decoding:
-            offset = np.minimum(self._offset(at, low, part), (ends[-1] - 1).astype(np.uint64)).astype(np.int32)
-            symbol = (offset >= ends[0]).astype(np.int64)
-            for end in ends[1:-1]:
-                symbol += offset >= end
-        cell = symbol * n + self.lane[:n]
-        end, own = ends.reshape(-1).take(cell), counts.reshape(-1).take(cell)
-        low = low + part * (end - own).astype(np.uint64)
-        self._settle(at, low, low + part * own.astype(np.uint64) - _ONE, decoding)
-        return symbol
-
-    def _adaptive(self, table: np.ndarray, at: np.ndarray, cell: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """A symbol by the counts of a context, which learn it."""
-        symbol = self._symbol(at, _counts(table, cell), symbol)
-        _learn(table, cell, symbol)
-        return symbol
-
-    def _plain(self, at: np.ndarray, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Codes numbers of so many bits, all alike probable."""
-        low, high = self._interval(at)
-        part = (high - low) >> bits
-        decoding = value is None
-        if decoding:
-            value = np.minimum(self._offset(at, low, part), (_ONE << bits) - _ONE)
-        low = low + part * value
-        self._settle(at, low, low + part - _ONE, decoding)
-        return value
-
-    def _literal(self, at: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """An id by the length of id + 1 in bits, the three bits behind the first, and the rest."""
-        size = lead = rest = None
-        if ids is not None:
-            v = ids.astype(np.int64) + 1
-            size = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1  # exact: the numbers have at most 33 bits
-            lead = np.where(size >= 3, v >> np.maximum(size - 3, 0), v << np.maximum(3 - size, 0)) & 7
-        size = self._adaptive(self.lengths, at, at, size)
-        lead = self._adaptive(self.leads, at, at * self.classes + size, lead)
-        full = 8 + lead
-        full = np.where(size >= 3, full, full >> np.maximum(3 - size, 0))
-        own = np.flatnonzero(size > 3)
-        if len(own):
-            bits = size[own] - 3
-            if ids is not None:
-                rest = (v[own] & (1 << bits) - 1).astype(np.uint64)
-            full[own] = full[own] << bits | self._plain(at[own], bits.astype(np.uint64), rest).astype(np.int64)
-        return (full - 1).astype(np.uint32)
-
-    def step(self, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id in each lane."""
-        one, two, lane = self.before, self.before2, self.lane
-        h1 = self.slot + (one * np.uint32(2654435761) >> np.uint32(21))
-        h2 = self.slot + (one * np.uint32(2246822519) + two * np.uint32(3266489917) >> np.uint32(21))
-        guess2, guess1, guess0 = self.ids2.take(h2), self.ids1.take(h1), self.top
-        s2, s1 = self.sure2.take(h2), self.sure1.take(h1)
-        there2 = guess2 != EMPTY
-        there1 = (guess1 != EMPTY) & (guess1 != guess2)
-        there0 = (guess0 != EMPTY) & (guess0 != guess2) & (guess0 != guess1)
-        a, b = lane * 16 + PAIR.take(s2 << 4 | s1), lane * 64 + self.past
-        ca, cb = _counts(self.by_sure, a), _counts(self.by_past, b)
-        w = self.weight
-        counts = ca * w + cb * (256 - w) >> 4
-        counts[0] *= there2
-        counts[1] *= there1
-        counts[2] *= there0
-        outcome = None
-        if ids is not None:
-            outcome = np.where(there2 & (ids == guess2), 0, np.where(there1 & (ids == guess1), 1, np.where(there0 & (ids == guess0), 2, MISS)))
-        outcome = self._symbol(lane, counts, outcome)
-        # the weight moves toward the context that gave the outcome more
-        cell = outcome * self.n + lane
-        better = ca.reshape(-1).take(cell) * (cb[0] + cb[1] + cb[2] + cb[3]) > cb.reshape(-1).take(cell) * (ca[0] + ca[1] + ca[2] + ca[3])
-        self.weight = np.minimum(np.maximum(w + np.where(better, 4, -4).astype(np.int32), 16), 240)
-        _learn(self.by_sure, a, outcome)
-        _learn(self.by_past, b, outcome)
-        self.past = (self.past << 2 | outcome) & 63
-        miss = (outcome == MISS).nonzero()[0]
-        if ids is None:
-            got = np.where(outcome == 0, guess2, np.where(outcome == 1, guess1, guess0))
-            if len(miss):
-                got[miss] = self._literal(miss, None)
+                self.words[out, place] = hi >> _WORD
+                self.used[out] = place + 1
+            low[out], high[out] = lo << _WORD, hi << _WORD | _TOP
+        self.low, self.high = low, high
+
+    def step(self, got: np.ndarray | None) -> np.ndarray:
+        """Codes one rank in each lane."""
+        bits, one = self.bits, self.before
+        at1 = self.slot + (one * _MIX1 >> _HASH)
+        at2 = self.slot + (one * _MIX2 + self.hash2 >> _HASH)
+        told1, told2 = _take(self.told1, at1), _take(self.told2, at2)
+        sure1, sure2, rank1, rank2 = told1 & _SURE, told2 & _SURE, told1 >> _RANK, told2 >> _RANK
+        guess = rank1.copy()
+        np.putmask(guess, sure2 + sure2 >= sure1, rank2)
+        cell1, cell2 = self.row + (sure1 + sure1 + (rank1 == guess)), self.row + (sure2 + sure2 + (rank2 == guess))
+        prob1, prob2 = _take(self.prob1, cell1), _take(self.prob2, cell2)
+        s0, s1, s2 = _take(self.zero, self.base + guess), _take(self.stretch, prob1 >> 4), _take(self.stretch, prob2 >> 4)
+        logit = self.w0 * s0 + self.w1 * s1 + self.w2 * s2 >> 16
+        p = _take(self.squash, np.minimum(np.maximum(logit, -2047), 2047) + 2048)
+        rest, head = 4096 - p, p << bits
+        part = self.high - self.low >> self.cut
+        if got is None:
+            at = ((self.value - self.low) // part).astype(np.int64)
+            hit = at < head
+            place = np.minimum(np.maximum(at - head, 0) * _take(self.inverse, rest) >> 42, self.last)
+            got = _take(self.owner, self.place + place)
+            np.putmask(got, hit, guess)
+            decoding = True
         else:
-            got = ids
-            if len(miss):
-                self._literal(miss, ids.take(miss))
-        for table, sures, h, guess, sure in ((self.ids2, self.sure2, h2, guess2, s2), (self.ids1, self.sure1, h1, guess1, s1)):
-            table[h] = np.where(sure < 2, got, guess)
-            sures[h] = NEXT.take(sure + ((got == guess) << np.uint8(4)))
-        c = self.slot + (got & np.uint32(SLOTS - 1))
-        count = self.seen.take(c) + np.uint16(1)
-        self.seen[c] = count
-        more = count > self.top_n
-        self.top, self.top_n = np.where(more, got, self.top), np.maximum(count, self.top_n)
-        self.before2, self.before = one, got
+            hit = got == guess
+            decoding = False
+        own = self.base + got
+        size, start = _take(self.share, own) * rest, _take(self.begin, own) * rest + head
+        np.putmask(size, hit, head)
+        start *= ~hit
+        low = self.low + part * start.view(np.uint64)
+        self._settle(low, low + part * size.view(np.uint64) - _ONE, decoding)
+        # Everything learns from the outcome.
+        one_hit = hit.astype(np.int64)
+        off = (one_hit << P) - p
+        self.w0 += s0 * off >> 10
+        self.w1 += s1 * off >> 10
+        self.w2 += s2 * off >> 10
+        goal = one_hit * 65535
+        self.prob1[cell1] = prob1 + (goal - prob1 >> 4)
+        self.prob2[cell2] = prob2 + (goal - prob2 >> 4)
+        fresh = (got << _RANK) + np.uint32(1)
+        for told, at, old, rank, sure in ((self.told1, at1, told1, rank1, sure1), (self.told2, at2, told2, rank2, sure2)):
+            right = rank == got
+            new = old + _take(STEP, sure + (right << _RANK))
+            np.putmask(new, (sure < 2) > right, fresh)
+            told[at] = new
+        self.hash2, self.before = one * _MIX3, got
         return got
 
     def finish(self) -> list[bytes]:
-        """Each block's bytes: what left, and the last interval's lower end."""
-        self.words[self.lane, self.used] = self.low >> _U32
-        self.words[self.lane, self.used + 1] = self.low & _LOW
+        """Each block's words: what left, and the last interval's lower end."""
+        self.words[self.lane, self.used] = self.low >> _WORD
+        self.words[self.lane, self.used + 1] = self.low & _TOP
         return [w[: k + 2].astype("<u4").tobytes() for w, k in zip(self.words, self.used.tolist(), strict=True)]
 
 
-#: A prediction's sureness falls by half with each miss and rises by one with each hit (from 16 on here); two times four
-#: levels of it make contexts.
-NEXT = np.concatenate([np.where(np.arange(16) < 2, 1, np.arange(16) >> 1), np.minimum(np.arange(16) + 1, 15)]).astype(np.uint8)
-LEVEL = np.array([0, 1, 2, 2] + [3] * 12, np.int64)
-PAIR = (LEVEL[:, None] * 4 + LEVEL[None, :]).reshape(-1)
-
-
-def _counts(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """The counts of contexts, symbols x contexts; in the table a context's counts lie together."""
-    return np.ascontiguousarray(table.take(cell, axis=0).T)
+#: What is stored of a block: its number of ids, their CRC-32 as little-endian 32-bit integers, and its bytes.
+Block = tuple[int, int, bytes]
 
 
-def _learn(table: np.ndarray, cell: np.ndarray, symbol: np.ndarray) -> None:
-    """Adds to the symbols' counts in their contexts, and halves the counts of full ones."""
-    flat, place = table.reshape(-1), cell * table.shape[1] + symbol
-    now = flat.take(place) + GAIN
-    flat[place] = now
-    full = cell[now > FULL]
-    if len(full):
-        table[full] = table.take(full, axis=0) + 1 >> 1
-
-
-def encode(ids: np.ndarray, class_bits: int = 4, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """Blocks (ids in it, CRC-32 of them as little-endian 32-bit integers, bytes) of an array of ids below 2^(2^class_bits) - 1."""
+def encode(ids: np.ndarray, block: int = BLOCK, *, tables: int = TABLES, distinct: int = DISTINCT) -> Iterator[tuple[bytes, list[Block]]]:
+    """Panels (model, blocks) of an array of 32-bit ids, in order. A panel of too many distinct ids is halved."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    if len(ids) and int(ids.max()) >= (1 << (1 << class_bits)) - 1:
-        raise ValueError("an id too large for its class")
-    out: list[tuple[int, int, bytes]] = []
+    if not 0 < block <= distinct:
+        raise ValueError("a block has an id, and no more than a panel may have distinct ones")
     for at in range(0, len(ids), LANES * block):
-        part = ids[at : at + LANES * block]
-        lanes = -(-len(part) // block)
-        rows = np.zeros(lanes * block, np.uint32)
-        rows[: len(part)] = part
-        columns = np.ascontiguousarray(rows.reshape(lanes, block).T)
-        coder = Coder(lanes, class_bits)
-        coder.start_encoding(block // 2 + 8)
-        for column in columns:
-            coder.step(column)
-        for k, data in enumerate(coder.finish()):
-            own = part[k * block : (k + 1) * block]
-            out.append((len(own), zlib.crc32(own.tobytes()), data))
-    return out
-
-
-class BrokenBlock(ValueError):
-    """A block whose ids do not have its checksum."""
-
-
-def decode(blocks: list[tuple[int, int, bytes]], class_bits: int = 4, block: int = BLOCK) -> np.ndarray:
-    """The ids of blocks as encode() gives them."""
+        todo = [ids[at : at + LANES * block]]
+        while todo:
+            part = todo.pop()
+            own, ranks = _ranked(part)
+            if len(own) > distinct:
+                half = (len(part) // block + 1) // 2 * block
+                todo += [part[half:], part[:half]]
+            else:
+                yield _panel(part, own, ranks, block, tables)
+
+
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in ascending order, and which of them each is."""
+    if int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.bincount(ids) > 0
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1)[ids]
+
+
+def _panel(part: np.ndarray, own: np.ndarray, ranks: np.ndarray, block: int, tables: int) -> tuple[bytes, list[Block]]:
+    lanes = -(-len(part) // block)
+    rows = np.full(lanes * block, ranks[-1], np.uint32)  # the last block is filled up by its last id
+    rows[: len(ranks)] = ranks
+    rows = rows.reshape(lanes, block)
+    used = np.full(lanes, block)
+    used[-1] = len(part) - (lanes - 1) * block
+    counts, table = fit(rows, used, len(own), tables)
+    bits = 16 if len(own) <= 1 << 14 else 18
+    model = Model(own, np.stack([shares(c, bits) for c in counts]), bits)
+    coder = Coder(model, table)
+    coder.start_encoding(block // 2 + 16)
+    for column in np.ascontiguousarray(rows.T):
+        coder.step(column)
+    told = table.astype("<u4")
+    data = [told[k : k + 1].tobytes() + d for k, d in enumerate(coder.finish())]
+    return model.to_bytes(), [(int(n), zlib.crc32(part[k * block : k * block + n]), data[k]) for k, n in enumerate(used.tolist())]
+
+
+def decode(model: bytes, blocks: list[Block], block: int = BLOCK) -> np.ndarray:
+    """The ids of any of a panel's blocks."""
+    if not blocks:
+        return np.zeros(0, "<u4")
+    model = Model.of_bytes(model)
+    data = np.frombuffer(b"".join(b[2] for b in blocks), "<u4")
+    data = np.concatenate([data, np.zeros(2 * block + 16, np.uint32)])  # a block that is broken may read on
+    starts = np.cumsum([0, *(len(b[2]) // 4 for b in blocks[:-1])])
+    table = data[starts].astype(np.int64)
+    if table.max() >= len(model.shares):
+        raise BrokenBlock("a block of no distribution")
+    coder = Coder(model, table)
+    coder.start_decoding(data, starts + 1)
+    rows = np.empty((max(b[0] for b in blocks), len(blocks)), np.uint32)
+    for k in range(len(rows)):
+        rows[k] = coder.step(None)
+    rows = model.ids.astype("<u4")[np.ascontiguousarray(rows.T)]
     out = []
-    for at in range(0, len(blocks), LANES):
-        part = blocks[at : at + LANES]
-        data = np.frombuffer(b"".join(b[2] for b in part), "<u4")
-        data = np.concatenate([data, np.zeros(4 * block + 16, np.uint32)])  # a block that is broken may read on
-        starts = np.cumsum([0, *(len(b[2]) // 4 for b in part[:-1])])
-        coder = Coder(len(part), class_bits)
-        coder.start_decoding(data, starts)
-        rows = np.empty((block, len(part)), np.uint32)
-        for k in range(block):
-            rows[k] = coder.step(None)
-        rows = np.ascontiguousarray(rows.T, dtype="<u4")
-        for k, (n, crc, _) in enumerate(part):
-            own = rows[k, :n]
-            if zlib.crc32(own.tobytes()) != crc:
-                raise BrokenBlock(f"block {at + k}")
-            out.append(own)
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+    for k, (n, crc, _) in enumerate(blocks):
+        if zlib.crc32(own := rows[k, :n]) != crc:
+            raise BrokenBlock(f"block {k}")
+        out.append(own)
+    return np.concatenate(out)

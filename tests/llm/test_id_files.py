@@ -1,15 +1,21 @@
 """The range coder and its files: exact round trips, checksums, order."""
 
 import io
+import lzma
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sluice.llm import idfiles, mixcoder
 from sluice.llm.queries import tokenizer
+from sluice.llm.tokens import Encoder
 from tests.llm.test_packing import library
 
+DATA = "/root/testdata/sf0.001"
+SQUASH_CRC = 2358140822
+
 
 def cases():
     rng = np.random.default_rng(0)
@@ -22,41 +28,103 @@ def cases():
     yield np.concatenate([np.full(200, 65534), rng.integers(0, 3, 5000)])
 
 
+def coded(ids, **options):
+    return list(mixcoder.encode(ids, **options))
+
+
+def back(panels, **options):
+    return np.concatenate([np.zeros(0, "<u4"), *(mixcoder.decode(m, blocks, **options) for m, blocks in panels)])
+
+
+def bits(panels, ids):
+    return sum(len(m) + sum(len(b[2]) for b in blocks) for m, blocks in panels) * 8 / len(ids)
+
+
 @pytest.mark.parametrize("k", range(7))
 @pytest.mark.parametrize("block", [64, 2048])
 def test_round_trips(k, block):
     ids = list(cases())[k]
-    blocks = mixcoder.encode(ids, block=block)
-    assert sum(b[0] for b in blocks) == len(ids) and (mixcoder.decode(blocks, block=block) == ids).all()
-    if len(blocks) > 1:  # any block alone
-        assert (mixcoder.decode(blocks[1:2], block=block) == ids[block : 2 * block]).all()
-
-
-def test_large_ids_and_limits():
-    ids = np.array([0, 1, 2**32 - 3, 70000, 65535])
-    assert (mixcoder.decode(mixcoder.encode(ids, 5), 5) == ids).all()
+    panels = coded(ids, block=block)
+    assert sum(b[0] for _, blocks in panels for b in blocks) == len(ids) and (back(panels, block=block) == ids).all()
+    if panels and len(panels[0][1]) > 1:  # any block alone
+        model, blocks = panels[0]
+        assert (mixcoder.decode(model, blocks[1:2], block=block) == ids[block : 2 * block]).all()
+
+
+def test_large_ids_and_many_panels(monkeypatch):
+    ids = np.array([0, 1, 2**32 - 1, 70000, 65535])
+    assert (back(coded(ids)) == ids).all()
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 2**32, 5000)
+    panels = coded(ids, block=100, distinct=700)  # halved until no panel has more distinct ids
+    assert len(panels) > 7 and (back(panels, block=100) == ids).all()
+    ids = np.arange(40_000)  # shares of 2^18
+    assert (back(coded(ids)) == ids).all()
+    monkeypatch.setattr(mixcoder, "LANES", 3)
+    ids = np.arange(1000) % 90
+    assert len(panels := coded(ids, block=64)) == 6 and (back(panels, block=64) == ids).all()
     with pytest.raises(ValueError):
-        mixcoder.encode(np.array([65535]), 4)
+        coded(ids, block=100, distinct=99)
 
 
 def test_predictions_pay():
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 50000, 3) for _ in range(40)]
     ids = np.concatenate([words[i] for i in rng.integers(0, 40, 4000)])
-    size = sum(len(b[2]) for b in mixcoder.encode(ids))
-    assert size * 8 < 9 * len(ids)
+    order0 = np.log2(120)
+    assert bits(coded(ids), ids) < 0.6 * order0  # a word's second and third id follow from the ones before
+
+
+def test_each_order_pays():
+    rng = np.random.default_rng(8)
+    after = rng.integers(0, 500, (500, 2))
+    walk, state = [], 0
+    for coin in rng.integers(0, 10, 40_000):
+        state = after[state, 0] if coin else after[state, 1]
+        walk.append(state)
+    skewed = rng.geometric(0.05, 40_000)  # only order 0 knows
+    assert bits(coded(np.array(walk)), walk) < 0.75 * np.log2(len(set(walk)))
+    counts = np.bincount(skewed)
+    share = counts[counts > 0] / len(skewed)
+    assert bits(coded(skewed), skewed) < 1.03 * -(share * np.log2(share)).sum()
+
+
+def test_fewer_bits_than_a_general_compressor():
+    table = f"{DATA}/documents.parquet"
+    texts = pq.read_table(table, columns=["text"]).column(0).combine_chunks().fill_null("")
+    ids, _ = Encoder(tokenizer("byte_bpe_50k.json"), "kept").encode_all(texts)
+    filters = [{"id": lzma.FILTER_LZMA2, "preset": 9, "lc": 0, "lp": 1, "pb": 1}]
+    blocks = [ids[k : k + mixcoder.BLOCK].astype("<u2").tobytes() for k in range(0, len(ids), mixcoder.BLOCK)]
+    lzma_bits = sum(len(lzma.compress(b, lzma.FORMAT_RAW, filters=filters)) for b in blocks) * 8 / len(ids)
+    zlib_bits = len(zlib.compress(ids.astype("<u2").tobytes(), 9)) * 8 / len(ids)
+    assert bits(coded(ids), ids) < 0.9 * min(lzma_bits, zlib_bits)
+
+
+def test_tables_do_not_depend_on_the_machine():
+    squash, stretch = mixcoder.logistic()
+    assert zlib.crc32(squash.astype("<i4").tobytes() + stretch.astype("<i4").tobytes()) == SQUASH_CRC
+    assert (np.diff(squash) >= 0).all() and (abs(stretch[squash] - (np.arange(4096) - 2048)) < 200).mean() > 0.8
+    for r in (1, 2, 3, 100, 4095, 4096):
+        x = np.concatenate([np.arange(r), np.arange(r * (1 << 18) - 9, r * (1 << 18)), r * np.arange(1, 1 << 18, 999) - 1])
+        inverse = -(-(1 << 42) // r)
+        assert (x[x >= 0] * inverse >> 42 == x[x >= 0] // r).all()
 
 
 def test_broken_blocks_are_found():
-    blocks = mixcoder.encode(np.arange(5000) % 300)
+    ids = np.arange(5000) % 300
+    (model, blocks), = coded(ids)
     n, crc, data = blocks[1]
     blocks[1] = n, crc, data[:20] + bytes([data[20] ^ 1]) + data[21:]
     with pytest.raises(mixcoder.BrokenBlock, match="block 1"):
-        mixcoder.decode(blocks)
+        mixcoder.decode(model, blocks)
+    blocks[1] = n, crc, b"\xff" + data[1:]
+    for bad in (model, model[:-3], b""):
+        with pytest.raises(mixcoder.BrokenBlock):
+            mixcoder.decode(bad, blocks)
 
 
 def test_broken_files_are_found():
-    group = idfiles.group_bytes([1, None], [2, 1], np.array([7, 8, 9]), 4)
+    group = idfiles.group_bytes([1, None], [2, 1], np.array([7, 8, 9]))
     end = b'{"end":[2,3]}'
     whole = idfiles.MAGIC + group + len(end).to_bytes(4, "little") + zlib.crc32(end).to_bytes(4, "little") + end
     assert [(d, s, i.tolist()) for d, s, i in idfiles.read_groups(io.BytesIO(whole))] == [([1, None], [2, 1], [7, 8, 9])]
