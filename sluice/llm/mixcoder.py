@@ -58,13 +58,12 @@ def logistic() -> tuple[np.ndarray, np.ndarray]:
 
 #: A prediction's sureness is halved by a miss and rises by one with a hit; below two, a miss replaces the prediction.
 #: What is added, for misses and hits.
-STEP = np.concatenate([-(np.arange(16) - (np.arange(16) >> 1)), np.where(np.arange(16) < 15, 1, 0)]).astype(np.int64).astype(np.uint32)
-_SURE, _RANK, _HASH = np.uint32(15), np.uint32(4), np.uint32(32 - SLOT_BITS)
-_MIX1, _MIX2, _MIX3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
+STEP = np.concatenate([-(np.arange(16) - (np.arange(16) >> 1)), np.where(np.arange(16) < 15, 1, 0)])
+_HASH, _FOUR, _MIX1, _MIX2 = np.uint32(32 - SLOT_BITS), np.uint8(4), np.uint32(2654435761), np.uint32(2246822519)
 
 
 def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """table[at]; no index is outside, and numpy is faster where it need not raise."""
+    """table[at]. No index is outside, and numpy is faster where it need not raise."""
     return table.take(at, mode="clip")
 
 
@@ -171,12 +170,14 @@ class Coder:
         self.begin = (np.cumsum(model.shares, axis=1) - model.shares).reshape(-1).astype(np.int64)
         self.zero = self.stretch[np.maximum(self.share >> self.bits - P, 1).clip(max=4095)]
         self.place = (table << self.bits).astype(np.int64)
-        self.owner = np.concatenate([np.repeat(np.arange(distinct, dtype=np.uint32), s) for s in model.shares])
+        self.owner = np.concatenate([np.repeat(np.arange(distinct, dtype=np.uint16), s) for s in model.shares])
         # x // r is x * inverse[r] >> 42 for x below r * 2^bits: the error stays below 2^42
         self.inverse = np.array([0, *(-(-(1 << 42) // r) for r in range(1, 4097))], np.int64)
         # orders 1 and 2: rank and sureness by context, and adaptive probabilities by sureness and agreement
         self.slot = self.lane << SLOT_BITS
-        self.told1, self.told2 = np.zeros(n << SLOT_BITS, np.uint32), np.zeros(n << SLOT_BITS, np.uint32)
+        kind = np.uint16 if distinct <= 1 << 12 else np.uint32  # a rank and four bits of sureness
+        self.told1, self.told2 = np.zeros(n << SLOT_BITS, kind), np.zeros(n << SLOT_BITS, kind)
+        self.sure, self.four, self.one, self.change = kind(15), kind(4), kind(1), STEP.astype(kind)
         sure = np.arange(16)
         start = np.stack([np.full(16, 3000), np.minimum(60000, 65536 * (2 * sure + 1) // (2 * sure + 5))], axis=1).reshape(-1)
         start[:2] = 1500  # nothing told yet
@@ -195,9 +196,11 @@ class Coder:
         self.data, self.next = data, starts + 2
         self.value = data[starts].astype(np.uint64) << _WORD | data[starts + 1]
 
-    def _settle(self, low: np.ndarray, high: np.ndarray, decoding: bool) -> None:
-        """Stores the intervals, after moving out what is settled. A narrow one that straddles is cut to its larger side."""
-        out = ((low ^ high <= _TOP) | (high - low < _NARROW)).nonzero()[0]
+    def _settled(self, decoding: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Moves out what is settled and gives the intervals' beginnings and spans. A narrow one that straddles is cut to its larger side."""
+        low, high = self.low, self.high
+        span = high - low
+        out = ((low ^ high <= _TOP) | (span < _NARROW)).nonzero()[0]
         if len(out):
             lo, hi = low.take(out), high.take(out)
             cut = (lo ^ hi > _TOP).nonzero()[0]
@@ -215,16 +218,17 @@ class Coder:
                     self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
                 self.words[out, place] = hi >> _WORD
                 self.used[out] = place + 1
-            low[out], high[out] = lo << _WORD, hi << _WORD | _TOP
-        self.low, self.high = low, high
+            lo, hi = lo << _WORD, hi << _WORD | _TOP
+            low[out], span[out] = lo, hi - lo
+        return low, span
 
     def step(self, got: np.ndarray | None) -> np.ndarray:
         """Codes one rank in each lane."""
         bits, one = self.bits, self.before
-        at1 = self.slot + (one * _MIX1 >> _HASH)
-        at2 = self.slot + (one * _MIX2 + self.hash2 >> _HASH)
+        mixed = one * _MIX1
+        at1, at2 = self.slot + (mixed >> _HASH), self.slot + (mixed + self.hash2 >> _HASH)
         told1, told2 = _take(self.told1, at1), _take(self.told2, at2)
-        sure1, sure2, rank1, rank2 = told1 & _SURE, told2 & _SURE, told1 >> _RANK, told2 >> _RANK
+        sure1, sure2, rank1, rank2 = told1 & self.sure, told2 & self.sure, told1 >> self.four, told2 >> self.four
         guess = rank1.copy()
         np.putmask(guess, sure2 + sure2 >= sure1, rank2)
         cell1, cell2 = self.row + (sure1 + sure1 + (rank1 == guess)), self.row + (sure2 + sure2 + (rank2 == guess))
@@ -233,23 +237,22 @@ class Coder:
         logit = self.w0 * s0 + self.w1 * s1 + self.w2 * s2 >> 16
         p = _take(self.squash, np.minimum(np.maximum(logit, -2047), 2047) + 2048)
         rest, head = 4096 - p, p << bits
-        part = self.high - self.low >> self.cut
+        low, span = self._settled(got is None)
+        part = span >> self.cut
         if got is None:
-            at = ((self.value - self.low) // part).astype(np.int64)
+            at = ((self.value - low) // part).astype(np.int64)
             hit = at < head
             place = np.minimum(np.maximum(at - head, 0) * _take(self.inverse, rest) >> 42, self.last)
-            got = _take(self.owner, self.place + place)
+            got = _take(self.owner, self.place + place).astype(guess.dtype)
             np.putmask(got, hit, guess)
-            decoding = True
         else:
             hit = got == guess
-            decoding = False
         own = self.base + got
         size, start = _take(self.share, own) * rest, _take(self.begin, own) * rest + head
         np.putmask(size, hit, head)
         start *= ~hit
-        low = self.low + part * start.view(np.uint64)
-        self._settle(low, low + part * size.view(np.uint64) - _ONE, decoding)
+        self.low = low + part * start.view(np.uint64)
+        self.high = self.low + part * size.view(np.uint64) - _ONE
         # Everything learns from the outcome.
         one_hit = hit.astype(np.int64)
         off = (one_hit << P) - p
@@ -259,17 +262,18 @@ class Coder:
         goal = one_hit * 65535
         self.prob1[cell1] = prob1 + (goal - prob1 >> 4)
         self.prob2[cell2] = prob2 + (goal - prob2 >> 4)
-        fresh = (got << _RANK) + np.uint32(1)
+        fresh = (got << self.four) + self.one
         for told, at, old, rank, sure in ((self.told1, at1, told1, rank1, sure1), (self.told2, at2, told2, rank2, sure2)):
             right = rank == got
-            new = old + _take(STEP, sure + (right << _RANK))
+            new = old + _take(self.change, sure + (right.view(np.uint8) << _FOUR))
             np.putmask(new, (sure < 2) > right, fresh)
             told[at] = new
-        self.hash2, self.before = one * _MIX3, got
+        self.hash2, self.before = mixed * _MIX2, got.astype(np.uint32)
         return got
 
     def finish(self) -> list[bytes]:
         """Each block's words: what left, and the last interval's lower end."""
+        self._settled(False)
         self.words[self.lane, self.used] = self.low >> _WORD
         self.words[self.lane, self.used + 1] = self.low & _TOP
         return [w[: k + 2].astype("<u4").tobytes() for w, k in zip(self.words, self.used.tolist(), strict=True)]
@@ -316,7 +320,7 @@ def _panel(part: np.ndarray, own: np.ndarray, ranks: np.ndarray, block: int, tab
     model = Model(own, np.stack([shares(c, bits) for c in counts]), bits)
     coder = Coder(model, table)
     coder.start_encoding(block // 2 + 16)
-    for column in np.ascontiguousarray(rows.T):
+    for column in np.ascontiguousarray(rows.T).astype(coder.told1.dtype):
         coder.step(column)
     told = table.astype("<u4")
     data = [told[k : k + 1].tobytes() + d for k, d in enumerate(coder.finish())]
