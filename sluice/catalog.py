@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sluice.functions import cents
 from sluice.operators import dictionaries, graphs, iomodel, joining, linked, lists, matrices, overlay, queues, range_sums, sorting, stacks
 from sluice.plans.numbering import number_rows, prefix_sum
-from sluice.sources import read_batch, table
+from sluice.plans.shared import fresh_path
+from sluice.sources import open_records, read_batch, table, write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +73,56 @@ def alloc_replay(spark, sf_dir):
     return iomodel.replay_allocator(log.unionByName(freed), 1000)
 
 
+@query
+def alloc_free_segments(spark, sf_dir):
+    """What is free once every second element of a user has been freed."""
+    log = events(spark, sf_dir).select(F.col("user_id").alias("disk"), F.col("event_id").alias("seq"), F.lit("alloc").alias("op"), F.lit(None).cast("long").alias("start"), (F.col("value") % 20 + 1).alias("length"))
+    given = iomodel.replay_allocator(log, 1000).select(*log.columns)
+    freed = given.filter("start is not null and seq % 2 = 0").select("disk", (F.col("seq") + 1_000_000_000).alias("seq"), F.lit("free").alias("op"), "start", "length")
+    return iomodel.free_segments(given.unionByName(freed), 1000).select("disk", "start", "length")
+
+
+@query
+def io_spans(spark, sf_dir):
+    """Nested measurements: the cost of each hundred accesses' span and of the spans from the start to their ends."""
+    trace = events(spark, sf_dir).select(F.col("event_type").alias("trace_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("flat_index"), F.lit(False).alias("is_write"))
+    steps = iomodel.simulate_block_io(trace, 10, 100, steps=True)
+    ends = trace.groupBy("trace_id", F.expr("seq div 1000").alias("part")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    start = trace.groupBy("trace_id").agg(F.min("seq").alias("__first"))
+    spans = ends.select(F.concat_ws("/", "trace_id", F.lit("own"), "part").alias("span"), "trace_id", "first", "last")
+    outer = ends.join(start, "trace_id").select(F.concat_ws("/", "trace_id", F.lit("all"), "part").alias("span"), "trace_id", F.col("__first").alias("first"), "last")
+    return iomodel.measure(steps, spans.unionByName(outer)).select("span", long("total"))
+
+
+@query
+def block_read(spark, sf_dir):
+    return overlay.read_block(events(spark, sf_dir).select(F.col("event_id").alias("pos"), "value"), 7, 100)
+
+
+@query
+def block_write(spark, sf_dir):
+    """Block 7 with its values negated, in the whole file."""
+    records = events(spark, sf_dir).select(F.col("event_id").alias("pos"), "value")
+    block = overlay.read_block(records, 7, 100).withColumn("value", -F.col("value"))
+    return overlay.overlay(records, block, ["pos"])
+
+
+@query
+def record_write(spark, sf_dir):
+    """Written to a file, opened and read again."""
+    path = fresh_path(spark, "records")
+    write_records(orders(spark, sf_dir).select("o_orderkey", "total"), path)
+    return open_records(spark, path)
+
+
+@query
+def merge_streams(spark, sf_dir):
+    """Events and orders by time, events first where the times are equal."""
+    first = events(spark, sf_dir).select(F.col("event_id").alias("time"), "value")
+    second = orders(spark, sf_dir).select(F.col("o_orderkey").alias("time"), "total")
+    return number_rows(joining.merge_streams(first, second, "time"), ["time", "__order"], "place").select("place", "time", "value", "total")
+
+
 # Sorting
 
 
@@ -160,11 +211,9 @@ def rsq_static_block(spark, sf_dir):
 
 @query
 def rsq_static_naive(spark, sf_dir):
-    """The online form: point lookups in the kept sums, for the whole array and its halves."""
-    array, _ = _array(spark, sf_dir)
-    sums = range_sums.StaticRangeSums(array)
-    n = sums.size
-    return spark.createDataFrame([(k, i, j, sums.query(i, j)) for k, (i, j) in enumerate([(0, n - 1), (0, n // 2), (n // 2, n - 1), (n - 1, n - 1)])], "query_id long, i long, j long, sum long")
+    """The online form: lookups in the kept sums, for every range."""
+    array, queries = _array(spark, sf_dir)
+    return range_sums.StaticRangeSums(array).query_many(queries)
 
 
 def _log(spark, sf_dir) -> tuple[DataFrame, int]:
@@ -210,6 +259,12 @@ def list_contract_round(spark, sf_dir):
     return lists.contract(_chain(spark, sf_dir))
 
 
+@query
+def list_rank_rounds(spark, sf_dir):
+    """The same with rounds of contraction and restoring down to 2,000 nodes."""
+    return lists.list_rank(_chain(spark, sf_dir), base=2000)
+
+
 # Matrices
 
 
@@ -241,6 +296,14 @@ def matrix_set_submatrix(spark, sf_dir):
     return matrices.set_submatrix(cells, matrices.transpose(matrices.submatrix(cells, 0, 32, 0, 32)), 100, 20)
 
 
+@query
+def matrix_elements(spark, sf_dir):
+    """Two cells written, one of them outside all that was there, and read with a third."""
+    rows, cols = 1 << 40, 1 << 20
+    cells = matrices.set_element(matrices.set_element(_cells(spark, sf_dir), 3, 5, -7.5, rows, cols), 1 << 30, 9, 2.25, rows, cols)
+    return spark.createDataFrame([(i, j, matrices.get_element(cells, i, j, rows, cols)) for i, j in ((3, 5), (1 << 30, 9), (1 << 30, 10))], "i long, j long, v double")
+
+
 # Dictionaries
 
 
@@ -276,6 +339,31 @@ def kv_lookup(spark, sf_dir):
     return dictionaries.lookup(pairs, orders(spark, sf_dir).select(F.col("o_orderkey").alias("key")), "key", "p_name")
 
 
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Parts with each line's order number behind, as another value of the part's key."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_partkey").alias("value"), F.col("p_partkey").alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"))
+    return dictionaries.insert_pairs(parts, lines, "key", "value", "n")
+
+
+@query
+def kv_insert_all(spark, sf_dir):
+    probes = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("key"))
+    return dictionaries.lookup(_pairs(spark, sf_dir), probes, "key", "value")
+
+
+@query
+def kv_insert_first(spark, sf_dir):
+    probes = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("key"))
+    return dictionaries.lookup(_pairs(spark, sf_dir), probes, "key", "value", policy="first", order=["n"])
+
+
+@query
+def kv_insert_last(spark, sf_dir):
+    probes = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("key"))
+    return dictionaries.lookup(_pairs(spark, sf_dir), probes, "key", "value", policy="last", order=["n"])
+
+
 def _operations(spark, sf_dir) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "search").otherwise("insert")
     return events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), "value")
@@ -372,6 +460,27 @@ def mis(spark, sf_dir):
     return graphs.independent_set(*_conflicts(spark, sf_dir))
 
 
+@query
+def tfp_depth_rounds(spark, sf_dir):
+    """In rounds alone, whatever number of vertices is ready."""
+    vertices, edges = _tree(spark, sf_dir)
+    return graphs.process_dag(vertices, edges, lambda v, label, incoming: max(incoming, default=0) + 1, wide=1).select("id", long("value", "depth"))
+
+
+@query
+def mis_rounds(spark, sf_dir):
+    return graphs.independent_set(*_conflicts(spark, sf_dir), wide=1)
+
+
+@query
+def mis_spoilt(spark, sf_dir):
+    """What the checks find wrong with every third vertex as a set."""
+    vertices, edges = _conflicts(spark, sf_dir)
+    spoilt = vertices.filter("id % 3 = 0")
+    inside = graphs.dependent_edges(vertices, edges, spoilt).distinct().agg(F.count("*").alias("dependent"))
+    return inside.crossJoin(graphs.uncovered_vertices(vertices, edges, spoilt).agg(F.count("*").alias("uncovered")))  # one row each
+
+
 @query
 def mis_independent(spark, sf_dir):
     vertices, edges = _conflicts(spark, sf_dir)
@@ -423,6 +532,12 @@ def llist_traverse(spark, sf_dir):
     return linked.traverse(linked.order(_inserts(spark, sf_dir), _removed(spark, sf_dir)))
 
 
+@query
+def llist_traverse_from(spark, sf_dir):
+    """Fifty elements from the one that was inserted second."""
+    return linked.traverse(linked.order(_inserts(spark, sf_dir)), 2, 50)
+
+
 @query
 def llist_lookup(spark, sf_dir):
     """Each pointer looked up halfway between its insertion and twice that, where half of the removals have come."""

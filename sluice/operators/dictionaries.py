@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.overlay import last_writes
-from sluice.plans.numbering import occurrences
+from sluice.plans.numbering import last_known, occurrences, repeat
 
 
 def search(keys: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
@@ -20,6 +20,16 @@ def insert(keys: DataFrame, more: DataFrame, key: str = "key") -> DataFrame:
     return keys.select(key).unionByName(more.select(key))
 
 
+def insert_pairs(pairs: DataFrame, more: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Pairs (key, value, order) with more behind them: a key that is there already keeps its values and gets another.
+
+    The places of ``more`` are moved behind the largest one before, so ``order`` tells the insertions' order.
+    """
+    last = pairs.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("__last"))
+    moved = more.crossJoin(F.broadcast(last)).select(key, value, (F.col(order) + F.col("__last")).alias(order))  # one row
+    return pairs.select(key, value, order).unionByName(moved)
+
+
 def delete(keys: DataFrame, gone: DataFrame, key: str = "key") -> DataFrame:
     """Takes one copy away for each row of gone; keys that are not there are left alone.
 
@@ -28,7 +38,7 @@ def delete(keys: DataFrame, gone: DataFrame, key: str = "key") -> DataFrame:
     have = keys.groupBy(key).agg(F.count("*").alias("__n"))
     less = gone.groupBy(key).agg(F.count("*").alias("__d"))
     stay = have.join(less, key, "left").withColumn("__s", F.greatest(F.col("__n") - F.coalesce("__d", F.lit(0)), F.lit(0))).filter("__s > 0")
-    return stay.select(key, F.explode(F.sequence(F.lit(1), F.col("__s").cast("int"))).alias("__c")).select(key)
+    return repeat(stay, "__s").select(key)
 
 
 def delete_rows(rows: DataFrame, gone: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -84,9 +94,8 @@ def final_state(log: DataFrame, *, key: str = "key", seq: str = "seq", op: str =
 
 def search_results(log: DataFrame, *, key: str = "key", seq: str = "seq", op: str = "op", value: str = "value") -> DataFrame:
     """Each search (seq, key, found, value) as of its place in the log."""
-    past = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(F.col(op) != "search", F.struct(F.col(op).alias("op"), F.col(value).alias("value"))), ignorenulls=True).over(past)
-    seen = log.withColumn("__s", state).filter(F.col(op) == "search")
+    state = F.when(F.col(op) != "search", F.struct(F.col(op).alias("op"), F.col(value).alias("value")))
+    seen = last_known(log.withColumn("__state", state), [key], [seq], "__state", "__s").filter(F.col(op) == "search")
     there = F.coalesce(F.col("__s.op") == "insert", F.lit(False))
     return seen.select(seq, key, there.alias("found"), F.when(there, F.col("__s.value")).alias(value))
 

@@ -6,17 +6,18 @@ tour of the tree is a list, so list ranking orders it in rounds that grow with t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.lists import SMALL, list_rank
+from sluice.operators.lists import BASE, list_rank
 from sluice.plans.numbering import number_rows
+from sluice.plans.shared import materialize
 
 #: The pointer of the head, before all elements.
 HEAD = 0
 
 
-def order(inserts: DataFrame, removed: DataFrame | None = None, *, small: int = SMALL) -> DataFrame:
+def order(inserts: DataFrame, removed: DataFrame | None = None, *, base: int = BASE) -> DataFrame:
     """Elements (pointer, value, place) of inserts (pointer, after, seq, value) without the removed pointers, places from 0.
 
     after null inserts at the head. Pointers are positive and unique; an insert after one that does not exist earlier is
@@ -27,13 +28,15 @@ def order(inserts: DataFrame, removed: DataFrame | None = None, *, small: int =
     bad = rows.filter(F.col("parent") != HEAD).join(known, "parent", "left").filter("__s is null or __s >= seq")
     if not bad.isEmpty():
         raise ValueError("an insert after a pointer that does not exist")
-    siblings = Window.partitionBy("parent").orderBy(F.desc("seq"))
-    told = rows.select("pointer", "parent", F.lead("pointer").over(siblings).alias("next_sibling"), F.row_number().over(siblings).alias("n"))
-    first = told.filter("n = 1").select(F.col("parent").alias("__p"), F.col("pointer").alias("child"))
+    # Siblings, the newest first, from places in one order of all: an element may have any number of children.
+    placed = materialize(number_rows(rows.select("pointer", "parent", (-F.col("seq")).alias("__age")), ["parent", "__age"], "__g"), "siblings")
+    after = placed.select((F.col("__g") - 1).alias("__g"), F.col("pointer").alias("__n"), F.col("parent").alias("__np"))
+    told = placed.join(after, "__g", "left").select("pointer", "parent", F.when(F.col("__np") == F.col("parent"), F.col("__n")).alias("next_sibling"))
+    first = rows.groupBy(F.col("parent").alias("__p")).agg(F.max_by("pointer", "seq").alias("child"))
     # Each element is entered (2p) and left (2p + 1); entering weighs 1.
     enter = told.join(first, F.col("pointer") == F.col("__p"), "left").select((F.col("pointer") * 2).alias("node_id"), F.coalesce(F.col("child") * 2, F.col("pointer") * 2 + 1).alias("next_id"), F.lit(1).cast("long").alias("weight"))
     leave = told.select((F.col("pointer") * 2 + 1).alias("node_id"), F.coalesce(F.col("next_sibling") * 2, F.when(F.col("parent") != HEAD, F.col("parent") * 2 + 1)).alias("next_id"), F.lit(0).cast("long").alias("weight"))
-    ranks = list_rank(enter.unionByName(leave), small=small).filter("node_id % 2 = 0").select(F.shiftright("node_id", 1).alias("pointer"), "rank")
+    ranks = list_rank(enter.unionByName(leave), base=base).filter("node_id % 2 = 0").select(F.shiftright("node_id", 1).alias("pointer"), "rank")
     placed = rows.select("pointer", "value").join(ranks, "pointer")
     if removed is None:
         return placed.select("pointer", "value", F.col("rank").alias("place"))

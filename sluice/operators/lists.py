@@ -11,8 +11,8 @@ from sluice.functions import coin
 from sluice.operators.joining import anti_head
 from sluice.plans.shared import materialize
 
-#: Nodes up to which one task ranks the lists in memory.
-SMALL = 1_000_000
+#: Nodes that one task ranks in memory, once contraction has left so few.
+BASE = 20_000
 
 
 def find_head(nodes: DataFrame) -> DataFrame:
@@ -35,47 +35,61 @@ def contract(nodes: DataFrame) -> DataFrame:
 
 
 def _in_memory(table: pa.Table) -> pa.Table:
-    node, prev = table.column("node_id").to_numpy(), table.column("prev").fill_null(-1).to_numpy()
-    dist = np.where(table.column("prev").is_null().to_numpy(), 0, table.column("dist").to_numpy())
+    node, weight = table.column("node_id").to_numpy(), table.column("weight").to_numpy()
+    ends = table.column("next_id").is_null().to_numpy(zero_copy_only=False)
     order = np.argsort(node)
-    known = ~table.column("prev").is_null().to_numpy()
-    at = np.where(known, order[np.searchsorted(node[order], prev).clip(0, len(node) - 1)], np.arange(len(node)))
-    done, rank = ~known, dist.copy()
+    source = np.flatnonzero(~ends)
+    target = order[np.searchsorted(node[order], table.column("next_id").to_numpy()[source].astype(np.int64)).clip(0, len(node) - 1)]
+    at, rank = np.arange(len(node)), np.zeros(len(node), np.int64)
+    at[target], rank[target] = source, weight[source]
+    done = at == np.arange(len(node))
+    if len(target):
+        done[target[target == source]] = False  # a loop of one has no head
     for _ in range(len(node).bit_length() + 1):  # pointer doubling
         rank = rank + np.where(done, 0, rank[at])
         done, at = done | done[at], at[at]
     return pa.table({"node_id": pa.array(node), "rank": pa.array(rank, mask=~done)})
 
 
-def list_rank(nodes: DataFrame, *, small: int = SMALL, max_rounds: int = 64) -> DataFrame:
+def list_rank(nodes: DataFrame, *, base: int = BASE) -> DataFrame:
     """Rows (node_id, rank) of lists (node_id, next_id, weight); next_id null ends a list, and every list has its own head.
 
-    Pointer doubling toward the heads, one join a round and as many rounds as the longest list has binary digits;
-    finished nodes leave the loop. Up to ``small`` nodes are ranked by one task. A cycle is an error.
+    A round takes out an independent set, about a quarter of the nodes, in one join that also bridges what is left. Heads
+    stay, and a list of a head alone is done. Once at most ``base`` nodes are left, one task ranks them; then the rounds'
+    nodes come back in the opposite order, each with the rank of its predecessor and the weight between them. Rows
+    written add up to a multiple of the nodes. A cycle is an error.
     """
-    sources = nodes.filter("next_id is not null").select(F.col("next_id").alias("__n"), F.col("node_id").alias("prev"), F.col("weight").alias("dist"))
-    now = materialize(nodes.select("node_id").join(sources, F.col("node_id") == F.col("__n"), "left").select("node_id", "prev", F.coalesce("dist", F.lit(0)).alias("dist")), "list")
-    if now.count() <= small:
-        ranked = materialize(now.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(_in_memory, "node_id long, rank long"), "list")
-        if not ranked.filter("rank is null").isEmpty():
+    heads = anti_head(nodes).select(F.col("node_id").alias("__h"))
+    start = nodes.select("node_id", "next_id", F.col("weight").cast("long").alias("weight")).join(heads, F.col("node_id") == F.col("__h"), "left")
+    now = materialize(start.select("node_id", "next_id", "weight", F.col("__h").isNotNull().alias("head")), "list")
+    removed, single = [], []
+    toss = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2))
+    while True:
+        told = now.agg(F.count(F.when(F.col("head") & F.col("next_id").isNull(), 1)).alias("single"), F.count("*").alias("n"), F.max(F.col("next_id") == F.col("node_id")).alias("loop")).first()
+        if told["loop"]:
             raise ValueError("a list that has no head")
-        return ranked
-    finished = []
-    for _ in range(max_rounds):
-        finished.append(now.filter("prev is null").select("node_id", F.col("dist").alias("rank")))
-        open_ = now.filter("prev is not null")
-        if open_.isEmpty():
-            out = finished[0]
-            for f in finished[1:]:
-                out = out.unionByName(f)
-            return out
-        done = finished[0]
-        for f in finished[1:]:
-            done = done.unionByName(f)
-        hop = now.filter("prev is not null").select("node_id", "prev", "dist").unionByName(done.select("node_id", F.lit(None).cast("long").alias("prev"), F.col("rank").alias("dist")))
-        hop = hop.select(F.col("node_id").alias("__n"), F.col("prev").alias("__p"), F.col("dist").alias("__d"))
-        now = materialize(open_.join(hop, F.col("prev") == F.col("__n")).select("node_id", F.col("__p").alias("prev"), (F.col("dist") + F.col("__d")).alias("dist")), "list")
-    raise ValueError("a list that has no head")
+        if told["single"]:
+            single.append(now.filter("head and next_id is null").select("node_id", F.lit(0).cast("long").alias("rank")))
+            now = now.filter("not (head and next_id is null)")
+        if told["n"] - told["single"] <= base:
+            break
+        turn = len(removed)
+        goes = ~F.col("head") & (toss("node_id", turn) == 1) & (F.col("next_id").isNull() | (toss("next_id", turn) == 0))
+        marked = now.withColumn("goes", goes)
+        out = marked.filter("goes").select(F.col("node_id").alias("__g"), F.col("next_id").alias("__next"), F.col("weight").alias("__w"))
+        both = materialize(marked.join(out, F.col("next_id") == F.col("__g"), "left"), "round")
+        removed.append(both.filter("__g is not null").select(F.col("__g").alias("node_id"), F.col("node_id").alias("parent"), F.col("weight").alias("step")))
+        bridged = F.col("__g").isNotNull()
+        now = both.filter("not goes").select("node_id", F.when(bridged, F.col("__next")).otherwise(F.col("next_id")).alias("next_id"), (F.col("weight") + F.coalesce("__w", F.lit(0))).alias("weight"), "head")
+    ranks = materialize(now.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(_in_memory, "node_id long, rank long"), "ranks")
+    if not ranks.filter("rank is null").isEmpty():
+        raise ValueError("a list that has no head")
+    for s in single:
+        ranks = ranks.unionByName(s)
+    for r in reversed(removed):
+        back = r.join(ranks.select(F.col("node_id").alias("parent"), "rank"), "parent").select("node_id", (F.col("rank") + F.col("step")).alias("rank"))
+        ranks = ranks.unionByName(materialize(back, "ranks"))
+    return ranks
 
 
 def same_ranks(ranks: DataFrame, expected: DataFrame) -> bool:

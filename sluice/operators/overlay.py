@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import floor_div
+from sluice.plans.numbering import prefix_sum
 
 
 def last_writes(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -29,4 +30,4 @@ def read_block(records: DataFrame, block: int, size: int, pos: str = "pos") -> D
 def block_sums(records: DataFrame, size: int, value: str, pos: str = "pos") -> DataFrame:
     """Rows (block, total, prefix): each block's sum and the sum up to and with it. One row a block."""
     per = records.groupBy(floor_div(pos, size).alias("block")).agg(F.sum(value).alias("total"))
-    return per.withColumn("prefix", F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    return prefix_sum(per, ["block"], "total", "prefix")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.sorting import top_k
-from sluice.plans.numbering import number_rows
+from sluice.plans.numbering import number_rows, running_sum
 
 
 def drain(rows: DataFrame, priority: str = "priority", seq: str = "seq", name: str = "rank") -> DataFrame:
@@ -55,9 +55,6 @@ def replay(log: DataFrame, *, queue: str = "queue", seq: str = "seq", op: str =
 
 def sizes(log: DataFrame, *, queue: str = "queue", seq: str = "seq", op: str = "op") -> DataFrame:
     """The log with the exact number of elements after each operation, extracts from empty queues counted as nothing."""
-    from pyspark.sql import Window
-
-    past = Window.partitionBy(queue).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col(op) == "insert", 1).when(F.col(op) == "extract", -1).otherwise(0)
-    running = log.withColumn("__r", F.sum(step).over(past))
-    return running.withColumn("size", F.col("__r") - F.least(F.lit(0), F.min("__r").over(past))).drop("__r")
+    running = running_sum(log.withColumn("__step", step), [queue], [seq], "__step", "__r", low="__low")
+    return running.withColumn("size", F.col("__r") - F.least(F.lit(0), "__low")).drop("__r", "__low", "__step")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import floor_div
 from sluice.operators.overlay import block_sums
-from sluice.plans.numbering import prefix_sum
-from sluice.plans.shared import materialize
+from sluice.plans.numbering import last_known, number_rows, prefix_sum, running_sum
+from sluice.plans.shared import discard, materialize
 
 RELATIVE, QUERY, ABSOLUTE = 0, 1, 2
 
@@ -44,15 +44,23 @@ class StaticRangeSums:
         got = {r["idx"]: r["prefix"] for r in self.sums.filter(F.col("idx").isin(i - 1, j)).collect()}
         return got[j] - got.get(i - 1, 0)
 
-    def close(self) -> None:
-        from sluice.plans.shared import discard
+    def query_many(self, queries: DataFrame) -> DataFrame:
+        """Rows (query_id, sum) for all queries (query_id, i, j): lookups in the kept prefix sums, by two equi-joins."""
+        if self.block:
+            raise ValueError("without prefix sums, static_blocks answers many queries")
+        check_ranges(queries, self.size)
+        return _from_sums(self.sums, queries)
 
+    def close(self) -> None:
         discard(self.sums)
 
 
 def static_offline(array: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows (query_id, sum) for all queries (query_id, i, j) on an array (idx, val): two equi-joins with prefix sums."""
-    sums = prefix_sum(array.select("idx", "val"), ["idx"], "val").select("idx", "prefix")
+    return _from_sums(prefix_sum(array.select("idx", "val"), ["idx"], "val").select("idx", "prefix"), queries)
+
+
+def _from_sums(sums: DataFrame, queries: DataFrame) -> DataFrame:
     upper = sums.select(F.col("idx").alias("j"), F.col("prefix").alias("__s"))
     lower = sums.select((F.col("idx") + 1).alias("i"), F.col("prefix").alias("__b"))
     joined = queries.join(upper, "j").join(lower, "i", "left")
@@ -71,23 +79,22 @@ def static_blocks(array: DataFrame, queries: DataFrame, block: int) -> DataFrame
 
 def absolute_to_relative(updates: DataFrame) -> DataFrame:
     """Updates (time_id, op_type, idx, val) with rel: what each adds to its place. An absolute one sets it, from zero at first."""
-    time = Window.partitionBy("idx").orderBy("time_id")
-    run = time.rowsBetween(Window.unboundedPreceding, 0)
-    grouped = updates.withColumn("__g", F.sum((F.col("op_type") == ABSOLUTE).cast("long")).over(run))
-    after = F.sum("val").over(Window.partitionBy("idx", "__g").orderBy("time_id").rowsBetween(Window.unboundedPreceding, 0))
-    grouped = grouped.withColumn("__after", after)
-    return grouped.withColumn("rel", F.col("__after") - F.coalesce(F.lag("__after").over(time), F.lit(0))).drop("__g", "__after")
+    sums = running_sum(updates, ["idx"], ["time_id"], "val", "__s")
+    # What counts begins with the latest absolute update: the sum before it falls away.
+    sums = sums.withColumn("__cut", F.when(F.col("op_type") == ABSOLUTE, F.col("__s") - F.col("val")))
+    since = last_known(sums, ["idx"], ["time_id"], "__cut", "__base", with_row=True)
+    since = since.withColumn("__after", F.col("__s") - F.coalesce("__base", F.lit(0)))
+    before = last_known(since, ["idx"], ["time_id"], "__after", "__before")
+    return before.withColumn("rel", F.col("__after") - F.coalesce("__before", F.lit(0))).drop("__s", "__cut", "__base", "__after", "__before")
 
 
 def dynamic_offline(log: DataFrame, size: int) -> DataFrame:
     """Rows (query_id, sum): query_id counts the log's queries by time; each sees the updates of smaller times.
 
     log: (time_id, op_type, arg1, arg2), times unique; updates have index and value, queries i and j. A segment tree of
-    2 * 2^levels nodes turns a range into at most 2 * levels node lookups, so it is one window and one aggregation and
-    never a join by range.
+    2 * 2^levels nodes turns a range into at most 2 * levels node lookups, so it is one running sum and one aggregation
+    and never a join by range; the root's log, which is the whole one, spreads over the ranges of the running sum.
     """
-    from sluice.plans.numbering import number_rows
-
     levels = max(0, (size - 1).bit_length())
     leaf = 1 << levels
     log = log.select(*[F.col(c).cast("long") for c in ("time_id", "op_type", "arg1", "arg2")])
@@ -103,7 +110,7 @@ def dynamic_offline(log: DataFrame, size: int) -> DataFrame:
     at = at.select("query_id", "time_id", F.expr(f"shiftright(i + {leaf} + shiftleft(1L, k) - 1, k)").alias("l"), F.expr(f"shiftright(j + 1 + {leaf}, k)").alias("r")).filter("l < r")
     cover = at.select("query_id", "time_id", F.explode(F.expr("filter(array(if(l % 2 = 1, l, null), if(r % 2 = 1, r - 1, null)), x -> x is not null)")).alias("node"))
     down = cover.select("node", "time_id", F.lit(0).cast("long").alias("rel"), "query_id")
-    past = Window.partitionBy("node").orderBy("time_id", F.col("query_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = up.unionByName(down).withColumn("s", F.sum("rel").over(past)).filter("query_id is not null")
+    both = up.unionByName(down).withColumn("__asks", F.col("query_id").isNotNull())
+    seen = running_sum(both, ["node"], ["time_id", "__asks", "query_id"], "rel", "s").filter("query_id is not null")
     sums = seen.groupBy("query_id").agg(F.sum("s").alias("sum"))
     return queries.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("sum", F.lit(0)).alias("sum"))

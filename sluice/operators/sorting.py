@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import subrange
-from sluice.plans.numbering import number_rows
+from sluice.plans.numbering import number_rows, prefix_sum, repeat
 
 
 def external_sort(records: DataFrame, key: str, pos: str = "pos", name: str = "rank") -> DataFrame:
@@ -20,10 +20,8 @@ def sort_values(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
     The distinct values are numbered, not the rows; rows come back by their count.
     """
     counts = values.groupBy(value).agg(F.count("*").alias("__c"))
-    from sluice.plans.numbering import prefix_sum
-
     ended = prefix_sum(counts, [value], "__c", "__e")
-    return ended.select(value, F.explode(F.sequence(F.col("__e") - F.col("__c"), F.col("__e") - 1)).alias(name))
+    return repeat(ended, "__c").select(value, (F.col("__e") - F.col("__c") + F.col("__copy")).alias(name))
 
 
 def check_range(values: DataFrame, value: str, low: int, high: int) -> None:

@@ -1,23 +1,25 @@
-"""Stacks as logs of pushes and pops, matched like parentheses by windows."""
+"""Stacks as logs of pushes and pops, matched like parentheses by running sums. One stack's log may be the whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.plans.numbering import last_known, running_sum
+
 
 def levels(log: DataFrame, *, stack: str = "stack", seq: str = "seq", op: str = "op") -> DataFrame:
     """The log with depth (elements after the operation), __level (of the element pushed or popped) and underflow.
 
     A pop from an empty stack changes nothing and is marked.
     """
-    past = Window.partitionBy(stack).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    run = log.withColumn("__r", F.sum(F.when(F.col(op) == "push", 1).otherwise(-1)).over(past))
-    run = run.withColumn("__low", F.least(F.lit(0), F.min("__r").over(past)))
+    step = F.when(F.col(op) == "push", 1).otherwise(-1)
+    run = running_sum(log.withColumn("__step", step), [stack], [seq], "__step", "__r", low="__low", prior="__prior")
+    run = run.withColumn("__low", F.least(F.lit(0), "__low")).withColumn("__prior", F.least(F.lit(0), "__prior"))
     run = run.withColumn("depth", F.col("__r") - F.col("__low"))
-    before = F.lag("__low", 1, 0).over(Window.partitionBy(stack).orderBy(seq))
-    run = run.withColumn("underflow", (F.col(op) == "pop") & (F.col("__low") < before))
-    return run.withColumn("__level", F.when(F.col(op) == "push", F.col("depth")).otherwise(F.col("depth") + 1)).drop("__r", "__low")
+    # A pop from an empty stack is a new low of the running sum.
+    run = run.withColumn("underflow", (F.col(op) == "pop") & (F.col("__r") == F.col("__low")) & (F.col("__prior") > F.col("__low")))
+    return run.withColumn("__level", F.when(F.col(op) == "push", F.col("depth")).otherwise(F.col("depth") + 1)).drop("__r", "__low", "__prior", "__step")
 
 
 def pops(log: DataFrame, *, stack: str = "stack", seq: str = "seq", op: str = "op", value: str = "value", strict: bool = False) -> DataFrame:
@@ -25,7 +27,9 @@ def pops(log: DataFrame, *, stack: str = "stack", seq: str = "seq", op: str = "o
     told = levels(log, stack=stack, seq=seq, op=op)
     if strict and not told.filter("underflow").isEmpty():
         raise IndexError("pop from an empty stack")
-    real = told.filter("not underflow").withColumn("__v", F.lag(value).over(Window.partitionBy(stack, "__level").orderBy(seq)))
+    pushed = F.when(F.col(op) == "push", F.struct(F.col(value).alias("v")))
+    real = last_known(told.filter("not underflow").withColumn("__pushed", pushed), [stack, "__level"], [seq], "__pushed", "__last")
+    real = real.withColumn("__v", F.col("__last.v"))
     return real.filter(F.col(op) == "pop").select(stack, seq, F.col("__v").alias(value), F.lit(False).alias("underflow")).unionByName(told.filter("underflow").select(stack, seq, F.lit(None).cast(log.schema[value].dataType).alias(value), F.lit(True).alias("underflow")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.functions import ceil_div, floor_div, floor_mod, subrange
 from sluice.operators import dictionaries, graphs, iomodel, joining, linked, lists, matrices, overlay, queues, range_sums, sorting, stacks
 from sluice.plans.components import components
+from sluice.plans import numbering
 from sluice.plans.numbering import number_rows, occurrences, prefix_sum
 from sluice.sources import close_records, open_records, read_batch, read_record, write_records
 from tests.conftest import rows
@@ -154,23 +155,23 @@ def test_dynamic_range_sums(spark):
             range_sums.dynamic_offline(frame(spark, bad, schema), 8)
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_list_ranking(spark, small):
+@pytest.mark.parametrize("base", [100_000, 5])
+def test_list_ranking(spark, base):
     fixed = frame(spark, [(2, 3, 10), (3, None, 10), (1, 2, 10)], "node_id long, next_id long, weight long")
     assert rows(lists.find_head(fixed)) == [(1,)]
-    assert rows(lists.list_rank(fixed, small=small)) == [(1, 0), (2, 10), (3, 20)]
+    assert rows(lists.list_rank(fixed, base=base)) == [(1, 0), (2, 10), (3, 20)]
     chain = lists.random_list(spark, 60)
     by = {r["node_id"]: r for r in chain.collect()}
     node, total, want = ({*by} - {r["next_id"] for r in by.values()}).pop(), 0, []
     while node is not None:
         want.append((node, total))
         total, node = total + by[node]["weight"], by[node]["next_id"]
-    got = lists.list_rank(chain, small=small)
+    got = lists.list_rank(chain, base=base)
     assert rows(got) == sorted(want) and lists.same_ranks(got, frame(spark, want, "node_id long, rank long"))
     two = frame(spark, [(1, 2, 5), (2, None, 1), (7, None, 3)], "node_id long, next_id long, weight long")
-    assert rows(lists.list_rank(two, small=small)) == [(1, 0), (2, 5), (7, 0)]
+    assert rows(lists.list_rank(two, base=base)) == [(1, 0), (2, 5), (7, 0)]
     with pytest.raises(ValueError):
-        lists.list_rank(frame(spark, [(1, 2, 1), (2, 1, 1), (3, None, 1)], "node_id long, next_id long, weight long"), small=small, max_rounds=8)
+        lists.list_rank(frame(spark, [(1, 2, 1), (2, 1, 1), (3, None, 1)], "node_id long, next_id long, weight long"), base=min(base, 1))
 
 
 def test_contraction_keeps_ranks(spark):
@@ -268,32 +269,62 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
+@pytest.mark.parametrize("how", [{}, {"wide": 1}, {"chunk": 2}])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_independent_sets(spark, name, small):
+def test_independent_sets(spark, name, how):
     n, e, want = GRAPHS[name]
     v = frame(spark, [(i,) for i in range(n)], "id long")
     edges = frame(spark, [*e, (1, 1)], "u long, v long")
-    got = graphs.independent_set(v, edges, small=small)
+    got = graphs.independent_set(v, edges, **how)
     assert {r["id"] for r in got.collect()} == want
     assert graphs.is_independent(v, edges, got) and graphs.is_maximal(v, edges, got)
 
 
+def test_deep_graphs(spark):
+    """A chain of dependent vertices far longer than any number of rounds, through chunks smaller than it."""
+    n = 10_000
+    v, e = spark.range(n).selectExpr("id", "id % 7 as label"), spark.range(n - 1).selectExpr("id as u", "id + 1 as v")
+    got = graphs.process_dag(v, e, lambda i, label, x: max(x, default=0) + 1, chunk=9000)
+    assert got.filter("value <> id + 1").count() == 0 and got.count() == n
+    chosen = graphs.independent_set(v, e, chunk=9000)
+    assert chosen.filter("id % 2 = 1").count() == 0 and chosen.count() == n // 2
+
+
+def test_running_sums_of_one_key_and_of_nulls(spark):
+    rng = random.Random(9)
+    data = [(rng.choice([1, 1, 1, 1, 2, None]), t, rng.choice([1, -1, -1, None]), rng.choice([None, None, t])) for t in range(300)]
+    df = frame(spark, data, "k long, t long, x long, y long")
+    sums, lows, known, want = {}, {}, {}, []
+    for k, t, x, y in data:
+        prior = lows.get(k)
+        sums[k] = sums.get(k, 0) + (x or 0)
+        lows[k] = min(lows.get(k, sums[k]), sums[k])
+        want.append((t, sums[k], lows[k], prior, known.get(k), y if y is not None else known.get(k)))
+        known[k] = y if y is not None else known.get(k)
+    got = numbering.running_sum(df, ["k"], ["t"], "x", "s", low="l", prior="p")
+    got = numbering.last_known(got, ["k"], ["t"], "y", "before")
+    got = numbering.last_known(got, ["k"], ["t"], "y", "with", with_row=True)
+    assert rows(got, "t", "s", "l", "p", "before", "with") == want
+    many = frame(spark, [(1, 200_001), (2, 0), (3, 1), (4, -5)], "k long, n long")
+    copies = numbering.repeat(many, "n").groupBy("k").agg(F.count("*"), F.min("__copy"), F.max("__copy"), F.countDistinct("__copy"))
+    assert rows(copies) == [(1, 200_001, 0, 200_000, 200_001), (3, 1, 0, 0, 1)]
+
+
 def test_independent_set_checks(spark):
     v, e = frame(spark, [(0,), (1,), (2,)], "id long"), frame(spark, [(0, 1), (1, 2)], "u long, v long")
     of = lambda *ids: frame(spark, [(i,) for i in ids], "id long")
     assert not graphs.is_independent(v, e, of(0, 1)) and not graphs.is_maximal(v, e, of(0)) and not graphs.is_independent(v, e, of(0, 9))
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
-def test_time_forward(spark, small):
+@pytest.mark.parametrize("how", [{}, {"wide": 1}, {"chunk": 12}])
+def test_time_forward(spark, how):
     rng = random.Random(2)
     edges = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(25)})
     v, e = frame(spark, [(i, i % 3) for i in range(16)], "id long, label long"), frame(spark, edges, "u long, v long")
     want = {}
     for i in range(16):
         want[i] = max([want[a] for a, b in edges if b == i], default=0) + 1 + i % 3
-    got = graphs.process_dag(v, e, lambda i, label, x: max(x, default=0) + 1 + label, small=small)
+    got = graphs.process_dag(v, e, lambda i, label, x: max(x, default=0) + 1 + label, **how)
     assert dict(rows(got)) == want
     depth = {}
     for i in range(16):
@@ -325,13 +356,13 @@ def test_stacks(spark):
     assert rows(stacks.depths(df)) == sorted((k, len(r)) for k, r in real.items())
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_linked_lists(spark, small):
+@pytest.mark.parametrize("base", [100_000, 30])
+def test_linked_lists(spark, base):
     schema = "pointer long, after long, seq long, value long"
     basic = frame(spark, [(1, None, 0, 10), (2, 1, 1, 20), (3, 2, 2, 30)], schema)
-    assert [r["value"] for r in linked.order(basic, small=small).orderBy("place").collect()] == [10, 20, 30]
+    assert [r["value"] for r in linked.order(basic, base=base).orderBy("place").collect()] == [10, 20, 30]
     gone = frame(spark, [(2,)], "pointer long")
-    assert [r["value"] for r in linked.order(basic, gone, small=small).orderBy("place").collect()] == [10, 30]
+    assert [r["value"] for r in linked.order(basic, gone, base=base).orderBy("place").collect()] == [10, 30]
     with pytest.raises(ValueError):
         linked.lookup(basic, 999)
     with pytest.raises(ValueError):
@@ -346,7 +377,7 @@ def test_linked_lists(spark, small):
         log.append((p, at, p, 100 + p))
         real.insert(0 if at is None else real.index(at) + 1, p)
     removed = rng.sample(real, 15)
-    got = linked.order(frame(spark, log, schema), frame(spark, [(p,) for p in removed], "pointer long"), small=small)
+    got = linked.order(frame(spark, log, schema), frame(spark, [(p,) for p in removed], "pointer long"), base=base)
     assert [r["pointer"] for r in got.orderBy("place").collect()] == [p for p in real if p not in removed]
     start = next(p for p in real[10:] if p not in removed)
     kept = [p for p in real if p not in removed]
