@@ -387,7 +387,12 @@ def decode(data: bytes) -> Picture:
             _, height, width, n = struct.unpack_from(">BHHB", body)
             parts = [_Component(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             ids = {body[6 + 3 * i]: i for i in range(n)}
+            if not parts or not width or not height or any(not 1 <= x <= 4 for c in parts for x in (c.h, c.v)):
+                raise JpegError("a frame without pixels")
             hmax, vmax = max(c.h for c in parts), max(c.v for c in parts)
+            # A block's DC value takes a bit at least.
+            if -(-width // (8 * hmax)) * -(-height // (8 * vmax)) * sum(c.h * c.v for c in parts) > 8 * len(data):
+                raise JpegError("more blocks than its bytes can tell")
             across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
             for c in parts:
                 c.wide, c.high = across * c.h, down * c.v

@@ -13,7 +13,6 @@ equal answers, as nothing but the text enters a prediction. Columns other than t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,8 @@ from sluice.llm.common import arrow_rows, map_rows, utf8
 #: Cells of the hashed n-gram space, for two- and three-byte grams each.
 CELLS = 4096
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model may have: one row each comes to the driver.
+MAX_LANGUAGES = 1000
 #: Bytes as features see them: ASCII letters in lower case, every other ASCII byte a blank, bytes of longer characters kept.
 FOLD = np.array([(b | 32) if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256)], dtype=np.uint8)
 #: Bytes of a text that are counted at a time.
@@ -44,7 +44,7 @@ def gram_counts(data: bytes) -> np.ndarray:
         two = a[:-1] * 251 + a[1:]
         three = (two[:-1] * 241 + a[2:]) * 2654435761 >> 20
         two = two * 2246822519 >> 20
-        counts[:CELLS] += np.bincount(two[-(len(three)) :], minlength=CELLS)
+        counts[:CELLS] += np.bincount(two[1 if at else 0 :], minlength=CELLS)
         counts[CELLS:] += np.bincount(three, minlength=CELLS)
     counts[(32 * 251 + 32) * 2246822519 % (1 << 32) >> 20] = 0
     counts[CELLS + (((32 * 251 + 32) * 241 + 32) * 2654435761 % (1 << 32) >> 20)] = 0
@@ -64,8 +64,19 @@ def codewords(n: int) -> np.ndarray:
         bits = np.arange(1, 2 ** (n - 1))
         signs = np.array([[1 if n - 1 == k or not b >> k & 1 else -1 for b in bits] for k in range(n)])
         return signs.astype(np.int8)
-    rng = np.random.default_rng(n)
-    return max((rng.choice(np.array([-1, 1], np.int8), (n, 10 * int(np.ceil(np.log2(n))))) for _ in range(32)), key=lambda c: int((c[:, None, :] != c[None]).sum(2)[~np.eye(n, dtype=bool)].min()))
+    rng, width, best, far = np.random.default_rng(n), 10 * int(np.ceil(np.log2(n))), None, -1
+    for _ in range(32):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < width:  # neither equal nor opposite ones, nor one that tells nothing apart
+            c = rng.choice(np.array([-1, 1], np.int8), n)
+            c *= c[0]
+            if c.min() < 0:
+                columns[c.tobytes()] = c
+        codes = np.stack(list(columns.values()), axis=1)
+        apart = int((codes[:, None, :] != codes[None]).sum(2)[~np.eye(n, dtype=bool)].min())
+        if apart > far:
+            best, far = codes, apart
+    return best
 
 
 @dataclass(frozen=True)
@@ -112,7 +123,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 4000, folds: int = 5, margin: float = 0.05) -> Model:
     """Fits on at most ``train_rows`` rows outside the held-out fold, chosen by a hash of their id, evenly by language."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (~held_out(id_col, folds)).alias("open")).filter("open and lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return fit(np.zeros((0, 2 * CELLS), np.float32), [], margin)
     quota = max(1, train_rows // len(totals))
@@ -153,7 +166,7 @@ def predict(docs: DataFrame, model: Model, *, carry: list[str], text_col: str =
         for b in batches:
             out = []
             for data in b.column(len(carry)).to_pylist():
-                out.append(model.decode(features(gram_counts(data))) if data and LETTER.search(data.decode("utf-8", "replace")) else (UND, 0.0, True))
+                out.append(model.decode(features(gram_counts(data))) if data and any(map(str.isalpha, data.decode("utf-8", "replace"))) else (UND, 0.0, True))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())], [*carry, "lang_pred", "score", "ambiguous"])
 
     return map_rows(slim, label, f"{schema}, lang_pred string, score double, ambiguous boolean")

@@ -42,11 +42,39 @@ _SHORT = (
 _LONG = ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "CC-BY-SA-4.0", "Unlicense")
 _UNTITLED = {name: text.removeprefix(f"{name} License\n\n") for name, text in _SHORT}
 _TITLES = {"MIT": ("The MIT License", "The MIT License (MIT)"), "ISC": ("The ISC License",), "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License")}
+#: The clauses of the BSD licences, which stand numbered or under bullets, and their disclaimer.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def bsd(clauses: int, numbered: bool, title: str, holder: str) -> str:
+    lines = [f"{k}. {x}" if numbered else f"* {x}" for k, x in enumerate(_BSD[1 : clauses + 1], 1)]
+    return "\n\n".join([*([title] if title else []), _BSD[0], *lines, _BSD_WARRANTY.format(holder)])
+
+
+_BSD_TEXTS = tuple(
+    (f"BSD-{n}-Clause", bsd(n, numbered, title, holder))
+    for n in (2, 3)
+    for title in ("", f"BSD {n}-Clause License", f"The {n}-Clause BSD License")
+    for numbered in (True, False)
+    for holder in ("HOLDER", "OWNER")
+)
 #: The short ones with their usual titles and without, the long ones from their files.
 TEXTS = (
     *_SHORT,
     *((name, _UNTITLED[name]) for name in ("MIT", "ISC")),
     *((name, f"{title}\n\n{_UNTITLED[name]}") for name, titles in _TITLES.items() for title in titles),
+    *_BSD_TEXTS,
     *((name, (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")) for name in _LONG),
 )
 
@@ -62,12 +90,17 @@ def canonical(text: Column) -> Column:
     """The canonical form; words stand between single blanks."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, " "), MARKS, " "))
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    unified = padded
+    unified = F.replace(padded, F.lit(" "), F.lit("  "))  # so that neighbours don't share a blank
     for a, b in SPELLINGS:
-        unified = F.replace(unified, F.lit(f" {a} "), F.lit(f" {b} "))
+        unified = F.replace(unified, F.lit(_apart(a)), F.lit(_apart(b)))
+    unified = F.replace(unified, F.lit("  "), F.lit(" "))
     return F.trim(F.when(padded.rlike(ANY_SPELLING), unified).otherwise(padded))
 
 
+def _apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def digest(text: Column) -> Column:
     """The canonical form's SHA-256; null if nothing is left of the text."""
     form = canonical(text)
@@ -91,7 +124,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tex
     units = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
     found = F.filter(units, lambda u: F.translate(u, UPPER, LOWER).contains(word))
     digests = F.transform(F.array_distinct(found), lambda u: digest(u))
-    by_digest = {r["digest"]: r["license_id"] for r in known(spark, notices).collect()}  # fixed values, some twenty
+    by_digest = {r["digest"]: r["license_id"] for r in known(spark, notices).collect()}  # a row for each given notice
     table = F.create_map(*[F.lit(x) for kv in sorted(by_digest.items()) for x in kv]) if by_digest else F.expr("cast(map() as map<string, string>)")
     names = F.array_sort(F.array_distinct(F.filter(F.transform(digests, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())))
     listed = F.when(F.translate("text", UPPER, LOWER).contains(word), F.array_join(names, ",")).otherwise("")
@@ -105,9 +138,10 @@ def oracle(table: str = "documents") -> str:
 
     def form(x: str) -> str:
         plain = f"concat(' ', trim(regexp_replace(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, ' ', 'g'), {quote(MARKS)}, ' ', 'g')), ' ')"
+        plain = f"replace({plain}, ' ', '  ')"
         for a, b in SPELLINGS:
-            plain = f"replace({plain}, ' {a} ', ' {b} ')"
-        return f"trim({plain})"
+            plain = f"replace({plain}, '{_apart(a)}', '{_apart(b)}')"
+        return f"trim(replace({plain}, '  ', ' '))"
 
     values = lambda pairs: ", ".join(f"({quote(a)}, {quote(b)})" for a, b in pairs)
     return f"""with t as (select row_number() over () as n, doc_id, coalesce(text, '') as text from {table}), lt as (select distinct license_id, sha256({form('x')}) as digest from (values {values(TEXTS)}) v(license_id, x)),

@@ -2,15 +2,18 @@
 
 store() turns texts into pictures that hold their bytes without loss (see jpeg.py); the stored column is written to the
 shared folder. payloads() and tensors() read such a column, or any column of progressive JPEG, back: bytes, features
-and full-resolution RGB. A row's work needs its own text only, so there is no shuffle, and memory is bounded by a batch.
+and full-resolution RGB, which store_tensors() keeps as a table. A row's work needs its own text only, so there is no shuffle, and memory is bounded by a batch.
 
 Defined results: a null text is an empty one, whose payload is MCU blanks; equal texts give equal pictures. A picture
-that can't be decoded (or is null) gives nulls and its error, where the reader is given foreign ones.
+that can't be decoded (or is null) gives nulls and its error, where the reader is given foreign ones. A very long text
+becomes one picture; its coefficients and pixels are many times the text and stand in one task at a time. Columns other
+than the id's and the text's are left out, whatever their names; repeated rows stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +26,8 @@ from sluice.llm import jpeg
 from sluice.llm.common import map_rows, materialize, utf8
 
 PAD = b"\x20"
+#: What a picture that is none may raise.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, struct.error, ZeroDivisionError, OverflowError, MemoryError)
 
 
 def padded(data: bytes) -> bytes:
@@ -65,7 +70,7 @@ def payloads(stored: DataFrame) -> DataFrame:
             picture = jpeg.decode(media)
             data = jpeg.payload(picture)
             return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), size, digest, feature(jpeg.rgb(picture)), None
-        except (jpeg.JpegError, ValueError, KeyError, IndexError) as e:
+        except BROKEN as e:
             return None, None, None, size, digest, None, str(e)[:200] or type(e).__name__
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +92,7 @@ def tensors(pictures: DataFrame, *, id_col: str = "id", media_col: str = "media"
         try:
             pixels = jpeg.rgb(jpeg.decode(media))
             return pixels.shape[0], pixels.shape[1], pixels.tobytes(), None
-        except (jpeg.JpegError, ValueError, KeyError, IndexError) as e:
+        except BROKEN as e:
             return None, None, None, str(e)[:200] or type(e).__name__
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,3 +101,8 @@ def tensors(pictures: DataFrame, *, id_col: str = "id", media_col: str = "media"
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string())))], ["id", "height", "width", "rgb", "error"])
 
     return map_rows(slim, work, f"id {kind}, height int, width int, rgb binary, error string")
+
+
+def store_tensors(pictures: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """tensors(), written to the shared folder and read back."""
+    return materialize(tensors(pictures, id_col=id_col, media_col=media_col), "tensors", "zstd")

@@ -38,7 +38,9 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.warc import page_id, read, write
 
-    rows = read(write(read_table(spark, sf_dir, "pages")), payload=False).filter("kind in ('response', 'revisit')")
+    rows = read(write(read_table(spark, sf_dir, "pages")), payload=False).filter("kind <> 'warcinfo'")
+    # A gap in what was just written is no result.
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "gap", F.raise_error(F.concat_ws(": ", "path", "reason"))).otherwise(F.col("kind")))
     return rows.select(page_id("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_id("refers_to").alias("refers_to"))
 
 

@@ -1,5 +1,6 @@
 """Output codes: held-out accuracy, and defined results of odd inputs."""
 
+import math
 import os
 
 import numpy as np
@@ -52,3 +53,41 @@ def test_odd_rows(spark):
     assert langid.identify(spark.createDataFrame([], schema)).collect() == []
     unlabelled = langid.identify(spark.createDataFrame([(1, "abc", None, 0.0)], schema)).collect()
     assert [(r["lang_pred"], r["ambiguous"]) for r in unlabelled] == [("und", True)]
+
+
+def test_codewords_tell_all_languages_apart():
+    for n in range(2, 20):
+        codes = langid.codewords(n).astype(int)
+        assert len({tuple(r) for r in codes}) == n
+        columns = [tuple(c * c[-1]) for c in codes.T]
+        assert len(set(columns)) == len(columns) and all(len(set(c)) == 2 for c in columns)
+
+
+def test_every_gram_is_counted(monkeypatch):
+    data = bytes(np.random.default_rng(3).integers(97, 123, 50, dtype=np.uint8))
+    for chunk in (7, 1 << 20):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        counts = langid.gram_counts(data)
+        two = np.bincount([(a * 251 + b) * 2246822519 % (1 << 32) >> 20 for a, b in zip(data, data[1:], strict=False)], minlength=langid.CELLS)
+        assert (counts[: langid.CELLS] == two).all() and counts[langid.CELLS :].sum() == 48
+
+
+def test_decoding_takes_the_codeword_of_least_loss():
+    rng = np.random.default_rng(4)
+    names = list("abcdefghi")
+    codes = langid.codewords(9)
+    model = langid.Model(names, codes, rng.normal(size=(5, codes.shape[1])), rng.normal(size=codes.shape[1]), 0.05)
+    for _ in range(50):
+        x = rng.normal(size=5)
+        outputs = [float(sum(x[i] * model.weights[i, k] for i in range(5)) + model.bias[k]) for k in range(codes.shape[1])]
+        losses = [sum(math.log1p(math.exp(-c * o)) for c, o in zip(row, outputs, strict=True)) for row in codes.tolist()]
+        best, second = sorted(losses)[:2]
+        lang, score, close = model.decode(x)
+        assert lang == names[losses.index(best)] and close == (second - best < 0.05)
+        assert abs(score - 1 / sum(math.exp(best - v) for v in losses)) < 1e-9
+
+
+def test_texts_without_letters(spark):
+    df = spark.createDataFrame([(1, "² ½ 12 _"), (2, "ª"), (3, "日"), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langid.Model(["xx"], langid.codewords(1), np.zeros((2 * langid.CELLS, 0)), np.zeros(0), 0.05), carry=["doc_id"]).collect()}
+    assert got == {1: "und", 2: "xx", 3: "xx", 4: "und", 5: "und"}

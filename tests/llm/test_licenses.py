@@ -65,3 +65,24 @@ def test_whole_files(spark):
     rows += [("MIT", "Copyright (c) 2020 A\n\n" + mit.split("\n\n", 1)[1]), ("0BSD", "Zero-Clause BSD\n\n" + zero)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert len(got) == len(rows) and all(r["license_id"] == r["id"] for r in got)
+
+
+def test_the_canonical_form_is_one(spark):
+    forms = ["the licence licence licence end", "sub licence sub licence", "the license license license end"]
+    df = spark.createDataFrame([(t,) for t in forms], "t string")
+    once = [r[0] for r in df.select(licenses.canonical(F.col("t"))).collect()]
+    again = [r[0] for r in spark.createDataFrame([(t,) for t in once], "t string").select(licenses.canonical(F.col("t"))).collect()]
+    assert once == again and once[0] == once[2] and "licence" not in " ".join(once)
+
+
+def test_wrapped_bsd_files(spark):
+    import textwrap
+
+    data = []
+    for n in (2, 3):
+        body = licenses.bsd(n, True, f"BSD {n}-Clause License", "HOLDER").split("\n\n")
+        body.insert(1, "Copyright (c) 2020, Somebody\nAll rights reserved.")
+        data.append((n, "\n\n".join(textwrap.fill(x, 60, initial_indent="   ") if k > 1 else x for k, x in enumerate(body))))
+        data.append((n + 10, data[-1][1].replace("SUBSTITUTE", "OTHER")))
+    got = {r["id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {2: "BSD-2-Clause", 3: "BSD-3-Clause", 12: None, 13: None}

@@ -242,3 +242,22 @@ def test_stored_column(spark):
     assert len(pixels[3]["rgb"]) == pixels[3]["height"] * pixels[3]["width"] * 3
     foreign = spark.createDataFrame([(1, None), (2, bytearray(b"no picture"))], "id long, media binary")
     assert all(r["rgb"] is None and r["error"] for r in media.tensors(foreign).collect())
+
+
+def test_foreign_bytes_are_errors_not_crashes(spark):
+    good = jpeg.encode(media.padded(b"a text"))
+    frame = good.index(b"\xff\xc2")
+    wide = good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :]  # 65,535 x 65,535 pixels in a few bytes
+    flat = good[: frame + 11] + b"\x00" + good[frame + 12 :]  # a sampling factor of zero
+    data = [b"", b"\xff\xd8\xff\xc2", b"\xff\xd8\xff\xc2\x00", b"\xff\xd8\xff\xdd\x00\x03\x00\xff\xd9", wide, flat, good.replace(b"\xff\xfe", b"\xff\xef", 1), *(good[:k] for k in range(2, len(good), 9))]
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        spoilt = bytearray(good)
+        spoilt[int(rng.integers(2, len(good)))] = int(rng.integers(256))
+        data.append(bytes(spoilt))
+    df = spark.createDataFrame([(i, len(d), bytearray(d)) for i, d in enumerate(data)], "id long, n_bytes long, media binary")
+    tensors = media.tensors(df).collect()
+    assert len(tensors) == len(data) and all(r["error"] for r in tensors[:6])
+    assert all((r["rgb"] is None) == (r["error"] is not None) for r in tensors)
+    assert all((r["payload_sha256"] is None) == (r["error"] is not None) for r in media.payloads(df).collect())
+    assert media.store_tensors(df).filter("rgb is not null").count() == sum(r["rgb"] is not None for r in tensors)

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import warc
 
@@ -87,3 +88,55 @@ def test_gaps_are_logged(spark, tmp_path):
     gaps = sorted((r["begin"], r["end"]) for r in got if r["kind"] == "gap")
     a, b = len(parts[0]), len(parts[0]) + 200 + len(parts[1])
     assert gaps == [(a, a + 200), (b, b + len(parts[2]) - 9)]
+
+
+def members(rng, n=12):
+    out = []
+    for i in range(n):
+        p = rng.randbytes(rng.randrange(0, 3000))
+        out.append(warc.page_record(i, "http://x/", p, warc.base32_sha1(p), None))
+    return out
+
+
+def ids(got):
+    return [int(re.search(r"(\d+)", x[3][0]["warc-record-id"])[1]) for x in got if x[0] == "record"]
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_members_of_many_records(monkeypatch, held):
+    monkeypatch.setattr(warc, "HELD", held)
+    rng = random.Random(11)
+    parts = members(rng)
+    one = gzip.compress(b"".join(parts))
+    read = lambda data: list(warc.salvage(io.BytesIO(data), len(data)))
+    assert ids(read(one)) == list(range(12)) and len(read(one)) == 12
+    # a record that does not check, between others in a whole member
+    bad = parts[4][:-60] + bytes([parts[4][-60] ^ 1]) + parts[4][-59:]
+    got = read(gzip.compress(b"".join([*parts[:4], bad, *parts[5:]])) + gzip.compress(parts[0]))
+    assert ids(got) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 0] and [x[0] for x in got].count("gap") == 1
+    # a torn member keeps the records before the tear, and what follows it is found
+    torn = one[: len(one) * 2 // 3]
+    got = read(torn + gzip.compress(parts[0]))
+    assert 4 < len(ids(got)) < 13 and ids(got)[:-1] == list(range(len(ids(got)) - 1)) and ids(got)[-1] == 0
+    assert sum(x[2] - x[1] for x in got) == len(torn) + len(gzip.compress(parts[0]))
+    assert ids(read(torn)) == ids(got)[:-1]
+
+
+def test_lengths_that_are_none(monkeypatch):
+    rng = random.Random(12)
+    parts = members(rng, 3)
+    for head in (b"9" * 5000, b"-4", b"\xc2\xb2", str(warc.RECORD_BYTES + 1).encode()):
+        broken = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + head + b"\r\n\r\nx\r\n\r\n"
+        for pack in (bytes, gzip.compress):
+            data = pack(parts[0]) + pack(broken) + pack(parts[1] + parts[2])
+            assert ids(warc.salvage(io.BytesIO(data), len(data))) == [0, 1, 2]
+    monkeypatch.setattr(warc, "RECORD_BYTES", 100)
+    with pytest.raises(ValueError):
+        warc.record("resource", {}, b"x" * 101)
+
+
+def test_missing_records_are_told(spark):
+    manifest = warc.write(spark.createDataFrame([(i, "u", f"page {i}") for i in range(9)], "page_id long, url string, html string").coalesce(1))
+    assert warc.read(manifest).filter("kind = 'gap'").count() == 0
+    more = manifest.withColumn("records", F.col("records") + 1)
+    assert [r["reason"] for r in warc.read(more).filter("kind = 'gap'").collect()] == ["9 records where the manifest has 10"] * manifest.filter("records > 0").count()
