@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.plans.shared import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "arrow_rows", "discard", "fresh_path", "map_rows", "materialize", "read_table", "shared_dir", "utf8"]
+__all__ = ["BATCH_BYTES", "among", "arrow_rows", "discard", "fresh_path", "map_rows", "materialize", "read_table", "shared_dir", "utf8"]
 
 #: Bytes of one Arrow batch that goes to a Python worker; a single longer row makes a batch of its own.
 BATCH_BYTES = 8 << 20
@@ -36,3 +36,16 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def arrow_rows(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str, *, absent: bool = False) -> DataFrame:
+    """The rows whose long in a column is in the same one of ids, or is absent there.
+
+    Ids go as words of 64 bits, far smaller than their list where many follow each other. Whether the words are sent to
+    the rows or both are shuffled is left to the words' size.
+    """
+    place = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    words = ids.groupBy(F.shiftright(column, 6).alias("__word")).agg(F.bit_or(place).alias("__bits"))
+    told = rows.withColumn("__word", F.shiftright(column, 6)).join(materialize(words, "words"), "__word", "left" if absent else "inner")
+    there = F.col("__bits").bitwiseAND(place) != 0
+    return told.filter(~F.coalesce(there, F.lit(False)) if absent else there).select(rows.columns)
