@@ -3,8 +3,9 @@
 Each language gets a codeword. One binary classifier per code bit, a logistic regression on hashed byte n-grams, predicts
 that bit's sign; a document's language is the one whose codeword costs least under the loss summed over bits.
 
-Fit: a sample of at most ``train_rows`` labelled rows, as many of each language, is featurised on the executors; the
-driver gets only those rows' sparse counts. Prediction reads every whole text in one pass without a shuffle.
+Fit: a sample of at most ``train_rows`` labelled rows, as many of each language, is featurised on the executors; one
+task gets those rows' sparse counts and fits, and the driver gets the model alone. Prediction reads every whole text in
+one pass without a shuffle.
 
 Defined results: a text that is null or holds no letter gives ``und`` with score 0; without any labelled row every text
 is ``und``; with one language that language has score 1. A row whose id is null is never learned from. Equal texts get
@@ -141,20 +142,31 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             cells = [np.flatnonzero(c) for c in full]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.float64()), pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary()), pa.array([c[k].astype("<u4").tobytes() for c, k in zip(full, cells, strict=True)], pa.binary())], ["lang", "place", "cells", "counts"])
 
-    rows = sorted(map_rows(drawn, count, "lang string, place double, cells binary, counts binary").collect(), key=lambda r: (r["lang"], r["place"], bytes(r["cells"]), bytes(r["counts"])))
-    taken: dict[str, int] = {}
-    kept = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= quota:
-            kept.append(r)
-    x = np.zeros((len(kept), 2 * CELLS), np.float32)
-    for i, r in enumerate(kept):
-        counts = np.frombuffer(bytes(r["counts"]), "<u4").astype(np.float64)
-        x[i, np.frombuffer(bytes(r["cells"]), "<u2")] = np.sqrt(counts / max(1.0, counts.sum()))
-    labels = [r["lang"] for r in kept]
-    del rows, kept
-    return fit(x, labels, margin, keep=False)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*arrow_rows(b, "lang", "place", "cells", "counts"), strict=True))
+        taken: dict[str, int] = {}
+        kept = []
+        for r in rows:
+            taken[r[0]] = taken.get(r[0], 0) + 1
+            if taken[r[0]] <= quota:
+                kept.append(r)
+        x = np.zeros((len(kept), 2 * CELLS), np.float32)
+        for i, (_, _, cells, counts) in enumerate(kept):
+            counts = np.frombuffer(counts, "<u4").astype(np.float64)
+            x[i, np.frombuffer(cells, "<u2")] = np.sqrt(counts / max(1.0, counts.sum()))
+        labels = [r[0] for r in kept]
+        del rows, kept
+        m = fit(x, labels, margin, keep=False)
+        yield pa.RecordBatch.from_arrays([pa.array([m.languages], pa.list_(pa.string())), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary())], ["languages", "weights", "bias"])
+
+    sample = map_rows(drawn, count, "lang string, place double, cells binary, counts binary")
+    told = map_rows(sample.repartition(1), learn, "languages array<string>, weights binary, bias binary").collect()
+    names = list(told[0]["languages"]) if told else []
+    if not names:
+        return fit(np.zeros((0, 2 * CELLS), np.float32), [], margin)
+    codes = codewords(len(names))
+    weights, bias = (np.frombuffer(told[0][c], np.float32) for c in ("weights", "bias"))
+    return Model(names, codes, weights.reshape(2 * CELLS, codes.shape[1]), bias, margin)
 
 
 def predict(docs: DataFrame, model: Model, *, carry: list[str], text_col: str = "text") -> DataFrame:
