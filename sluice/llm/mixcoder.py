@@ -34,6 +34,7 @@ TABLES, DISTINCT = 4, 1 << 16
 #: Bits of a guess's probability.
 P = 12
 _TOP, _NARROW, _WORD, _ONE = np.uint64((1 << 32) - 1), np.uint64(1 << 30), np.uint64(32), np.uint64(1)
+_SHARE = (1 << 32) - 1
 
 
 class BrokenBlock(ValueError):
@@ -51,15 +52,12 @@ def logistic() -> tuple[np.ndarray, np.ndarray]:
             up.append(int(4096 * power / (1 + power)))
             power *= step
     half = np.clip(np.array(up), 1, 4095)
-    squash = np.concatenate([[1], 4096 - half[:0:-1], half]).astype(np.int64)
+    squash = np.concatenate([[1], 4096 - half[:0:-1], half]).astype(np.int32)
     stretch = np.clip(np.searchsorted(squash, np.arange(4096)), 1, 4095) - 2048
-    return squash, stretch
+    return squash, stretch.astype(np.int32)
 
 
-#: A prediction's sureness is halved by a miss and rises by one with a hit; below two, a miss replaces the prediction.
-#: What is added, for misses and hits.
-STEP = np.concatenate([-(np.arange(16) - (np.arange(16) >> 1)), np.where(np.arange(16) < 15, 1, 0)])
-_HASH, _FOUR, _MIX1, _MIX2 = np.uint32(32 - SLOT_BITS), np.uint8(4), np.uint32(2654435761), np.uint32(2246822519)
+_HASH, _MIX1, _MIX2 = np.uint32(32 - SLOT_BITS), np.uint32(2654435761), np.uint32(2246822519)
 
 
 def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -166,9 +164,10 @@ class Coder:
         self.squash, self.stretch = logistic()
         # order 0: shares, where they begin, their stretched probability, and which id has a place
         self.base, self.cut, self.last = (table * distinct).astype(np.int64), np.uint64(self.bits + P), (1 << self.bits) - 1
-        self.share = model.shares.reshape(-1).astype(np.int64)
-        self.begin = (np.cumsum(model.shares, axis=1) - model.shares).reshape(-1).astype(np.int64)
-        self.zero = self.stretch[np.maximum(self.share >> self.bits - P, 1).clip(max=4095)]
+        share = model.shares.reshape(-1).astype(np.int64)
+        begin = (np.cumsum(model.shares, axis=1) - model.shares).reshape(-1).astype(np.int64)
+        self.both = begin << 32 | share
+        self.zero = self.stretch[np.maximum(share >> self.bits - P, 1).clip(max=4095)]
         self.place = (table << self.bits).astype(np.int64)
         self.owner = np.concatenate([np.repeat(np.arange(distinct, dtype=np.uint16), s) for s in model.shares])
         # x // r is x * inverse[r] >> 42 for x below r * 2^bits: the error stays below 2^42
@@ -177,13 +176,14 @@ class Coder:
         self.slot = self.lane << SLOT_BITS
         kind = np.uint16 if distinct <= 1 << 12 else np.uint32  # a rank and four bits of sureness
         self.told1, self.told2 = np.zeros(n << SLOT_BITS, kind), np.zeros(n << SLOT_BITS, kind)
-        self.sure, self.four, self.one, self.change = kind(15), kind(4), kind(1), STEP.astype(kind)
+        # A prediction's sureness is halved by a miss and rises by one with a hit; below two, a miss replaces the prediction.
+        self.kind, self.sure, self.four, self.one, self.two = kind, kind(15), kind(4), kind(1), kind(2)
         sure = np.arange(16)
         start = np.stack([np.full(16, 3000), np.minimum(60000, 65536 * (2 * sure + 1) // (2 * sure + 5))], axis=1).reshape(-1)
         start[:2] = 1500  # nothing told yet
-        self.prob1, self.prob2 = np.tile(start.astype(np.int64), n), np.tile(start.astype(np.int64), n)
+        self.prob1, self.prob2 = np.tile(start.astype(np.int32), n), np.tile(start.astype(np.int32), n)
         self.row = self.lane * 32
-        self.w0, self.w1, self.w2 = (np.full(n, w, np.int64) for w in (16000, 26000, 30000))
+        self.w0, self.w1, self.w2 = (np.full(n, w, np.int32) for w in (16000, 26000, 30000))
         self.before, self.hash2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     # The range coder: [low, high] in 64 bits, of which the upper 32 leave once they are settled.
@@ -229,13 +229,14 @@ class Coder:
         at1, at2 = self.slot + (mixed >> _HASH), self.slot + (mixed + self.hash2 >> _HASH)
         told1, told2 = _take(self.told1, at1), _take(self.told2, at2)
         sure1, sure2, rank1, rank2 = told1 & self.sure, told2 & self.sure, told1 >> self.four, told2 >> self.four
-        guess = rank1.copy()
-        np.putmask(guess, sure2 + sure2 >= sure1, rank2)
+        guess = np.where(sure2 + sure2 >= sure1, rank2, rank1)
         cell1, cell2 = self.row + (sure1 + sure1 + (rank1 == guess)), self.row + (sure2 + sure2 + (rank2 == guess))
         prob1, prob2 = _take(self.prob1, cell1), _take(self.prob2, cell2)
         s0, s1, s2 = _take(self.zero, self.base + guess), _take(self.stretch, prob1 >> 4), _take(self.stretch, prob2 >> 4)
         logit = self.w0 * s0 + self.w1 * s1 + self.w2 * s2 >> 16
-        p = _take(self.squash, np.minimum(np.maximum(logit, -2047), 2047) + 2048)
+        logit += 2048
+        mixed_p = _take(self.squash, np.minimum(np.maximum(logit, 1), 4095))
+        p = mixed_p.astype(np.int64)
         rest, head = 4096 - p, p << bits
         low, span = self._settled(got is None)
         part = span >> self.cut
@@ -244,18 +245,16 @@ class Coder:
             hit = at < head
             place = np.minimum(np.maximum(at - head, 0) * _take(self.inverse, rest) >> 42, self.last)
             got = _take(self.owner, self.place + place).astype(guess.dtype)
-            np.putmask(got, hit, guess)
+            got = np.where(hit, guess, got)
         else:
             hit = got == guess
-        own = self.base + got
-        size, start = _take(self.share, own) * rest, _take(self.begin, own) * rest + head
-        np.putmask(size, hit, head)
-        start *= ~hit
+        both = _take(self.both, self.base + got)
+        size, start = np.where(hit, head, (both & _SHARE) * rest), ((both >> 32) * rest + head) * ~hit
         self.low = low + part * start.view(np.uint64)
         self.high = self.low + part * size.view(np.uint64) - _ONE
-        # Everything learns from the outcome.
-        one_hit = hit.astype(np.int64)
-        off = (one_hit << P) - p
+        # Everything learns from the outcome. Weights may wrap, which costs bits only.
+        one_hit = hit.astype(np.int32)
+        off = (one_hit << P) - mixed_p
         self.w0 += s0 * off >> 10
         self.w1 += s1 * off >> 10
         self.w2 += s2 * off >> 10
@@ -264,10 +263,8 @@ class Coder:
         self.prob2[cell2] = prob2 + (goal - prob2 >> 4)
         fresh = (got << self.four) + self.one
         for told, at, old, rank, sure in ((self.told1, at1, told1, rank1, sure1), (self.told2, at2, told2, rank2, sure2)):
-            right = rank == got
-            new = old + _take(self.change, sure + (right.view(np.uint8) << _FOUR))
-            np.putmask(new, (sure < 2) > right, fresh)
-            told[at] = new
+            missed = np.where(sure < self.two, fresh, old - (sure - (sure >> self.one)))
+            told[at] = np.where(rank == got, old + (sure < self.sure), missed)
         self.hash2, self.before = mixed * _MIX2, got.astype(np.uint32)
         return got
 

@@ -147,3 +147,9 @@ def test_documents_in_order(spark, monkeypatch):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(r["ids"]) // 4, zlib.crc32(bytes(r["ids"])))
         at += r["n_tokens"]
     assert idfiles.read(idfiles.write(df.limit(0), path)).collect() == []
+
+
+def test_state_of_a_step_is_narrow():
+    model = mixcoder.Model(np.arange(4, dtype=np.uint32), np.full((1, 4), 1 << 14), 16)
+    coder = mixcoder.Coder(model, np.zeros(3, np.int64))
+    assert all(x.dtype.itemsize == 4 for x in (coder.squash, coder.stretch, coder.zero, coder.prob1, coder.prob2, coder.w0, coder.w1, coder.w2))
